@@ -19,7 +19,7 @@ def op3_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPEATS_SQL = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x00-\x20]+'), x -> x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x00-\x20]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 runs AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) AS h FROM w, LATERAL unnest(range(1, len(ws) - 48)) AS t(i)),
 real AS (SELECT h, count(*) AS n FROM runs GROUP BY h HAVING min(doc_id) <> max(doc_id)),
 found AS (SELECT doc_id, i - 1 AS s, i + 49 AS e, n FROM runs JOIN real USING (h)),
