@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
 from .kneser_ney import lm_scores
+from .language import identify_language
 from .minhash import minhash_near_dedup
 from .suffix_array import suffix_array_dedup
 from .suffix_tree import suffix_tree_dedup
@@ -16,6 +18,14 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -41,7 +51,7 @@ FROM numbered GROUP BY doc_id, island
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op3_suffix_tree_dedup, op4_lm_scores, op5_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_decontaminate, op3_suffix_tree_dedup, op4_lm_scores, op5_minhash_near_dedup, op9_language)}
 
 
 def oracle_sql() -> dict[str, str]:
