@@ -1,15 +1,61 @@
-"""From raw documents to packed windows: each stage's result is written as Parquet and is the next one's input."""
+"""From raw documents to packed windows of tokens, in five stages.
+
+Each stage works on all that the one before it kept; all but the last return the columns of ``documents``. ``run`` writes each
+stage's result as Parquet in the shared folder and reads it again as the next one's input.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from symgraph.llm.decontaminate import decontaminated
+from symgraph.llm.language import in_a_language
+from symgraph.llm.minhash import minhash_near_dedup
+from symgraph.llm.packing import pack_windows
+from symgraph.llm.secrets import redacted
 from symgraph.llm.shared import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which enough words are in one of the labelled languages; null, empty and letterless texts go."""
+    return in_a_language(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id; a row that is there several times stays once, rows without an id or words stay."""
+    copies = minhash_near_dedup(docs).where("doc_id <> group_id").select(F.col("doc_id").alias("__copy"))
+    kept = docs.join(copies, F.col("doc_id") == F.col("__copy"), "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked and n_chars put right."""
+    return redacted(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: see pack_windows."""
+    return pack_windows(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language ID", language),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark),
+    ("secret scans", secrets),
+    ("packing", packing),
+]
+#: SQL can express neither the models nor the searches of the stages; tests/llm compare them with brute force
 ORACLE_SQL: str | None = None
 
 

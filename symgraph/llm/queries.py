@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest_neighbours
 from .decontaminate import contamination
 from .kneser_ney import lm_scores
 from .language import identify_language
 from .minhash import minhash_near_dedup
+from .packing import pack_windows
+from .quality import quality_scores
 from .secrets import secret_scan
 from .suffix_array import suffix_array_dedup
 from .suffix_tree import suffix_tree_dedup
@@ -43,6 +46,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_windows(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 REPEATS_SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x00-\x20]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 runs AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) AS h FROM w, LATERAL unnest(range(1, len(ws) - 48)) AS t(i)),
@@ -56,7 +71,7 @@ FROM numbered GROUP BY doc_id, island
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_decontaminate, op3_suffix_tree_dedup, op4_lm_scores, op5_minhash_near_dedup, op9_language, op10_secrets)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_decontaminate, op3_suffix_tree_dedup, op4_lm_scores, op5_minhash_near_dedup, op6_nearest_neighbours, op7_packing, op8_quality, op9_language, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
