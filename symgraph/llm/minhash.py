@@ -2,8 +2,9 @@
 
 Documents with the same words are one from the start. In each bucket of equal bands every document is compared with the
 bucket's least id (a star, so a bucket of n costs n comparisons). A document that turns out not to be similar to it is then
-compared with all others of the bucket; two documents that both passed are connected already. So groups are those that
-comparing all pairs of each bucket would give, at any bucket size, without a cap.
+compared with all others of the bucket that no chain of similar documents connects it with yet; two documents that both
+passed are connected already. So groups are those that comparing all pairs of each bucket would give, at any bucket size,
+without a cap.
 
 A comparison reads the two signatures a batch of hashes at a time. With m of n hashes equal so far and a uniform prior, the
 similarity has the posterior Beta(m + 1, n - m + 1); where the chance that it reaches the threshold is below ``miss``, the pair is
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import narrowed, written
 from .textblock import U, Words, blocks, grams, ints, mix, signed, spans, split
 
 BANDS, ROWS, BATCH = 36, 4, 16
 #: bytes of text that a verification task takes at once, and that a group may have before it is salted
-SHARD_BYTES, SALT_BYTES = 16 << 20, 4 << 20
+SHARD_BYTES, SALT_BYTES = 4 << 20, 2 << 20
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +151,7 @@ def verified(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, size: int,
     wanted = written(rows.unionByName(heads), "pair-texts")
     total = wanted.agg(F.sum("n_bytes")).first()[0] or 0
     n_shards = max(1, -(-total // SHARD_BYTES))
+    docs = narrowed(docs, wanted, "doc_id")
     wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("a", "salt")).alias("in"))
     texts = docs.join(wanted, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("same"), F.explode("in").alias("in")).select("doc_id", "text", "same", "in.a", "in.salt")
     return texts.groupBy(F.pmod(F.xxhash64("a", "salt"), F.lit(n_shards)).alias("shard")).applyInPandas(_verify(size, threshold, miss), "a long, b long, jaccard double")
@@ -177,11 +179,15 @@ def minhash_near_dedup(docs: DataFrame, threshold: float = 0.5, shingle_words: i
     buckets = distinct.withColumn("a", F.min("doc_id").over(of_band)).withColumn("last", F.max("doc_id").over(of_band)).where("a <> last")
     buckets = written(buckets.select("band", "a", F.col("doc_id").alias("b")), "buckets")
     stars = written(verified(docs, sketches, buckets.where("a <> b").select("a", "b").distinct(), shingle_words, threshold, miss), "stars")
-    edges = copies.union(stars.where(F.col("jaccard") >= threshold).select("a", "b"))
+    labels = components(copies.union(stars.where(F.col("jaccard") >= threshold).select("a", "b")))
     failed = stars.groupBy("a", "b").agg(F.max("jaccard").alias("j")).where(F.col("j") < threshold).select("a", "b")
     odd = buckets.join(failed, ["a", "b"]).select("band", "a", F.col("b").alias("x"))
-    rest = odd.join(buckets.select("band", F.col("b").alias("y")), "band").where("x <> y AND y <> a").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = written(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    rest = odd.join(buckets.select("band", F.col("b").alias("y")), "band").where("x <> y AND y <> a").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    for side in ("a", "b"):
+        rest = rest.join(labels.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}")), side, "left")
+    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+    rest = written(rest.where(apart).select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        edges = edges.union(verified(docs, sketches, rest, shingle_words, threshold, miss).where(F.col("jaccard") >= threshold).select("a", "b"))
-    return components(edges).select(F.col("id").alias("doc_id"), F.col("label").alias("group_id"))
+        more = verified(docs, sketches, rest, shingle_words, threshold, miss).where(F.col("jaccard") >= threshold).select("a", "b")
+        labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more))
+    return labels.select(F.col("id").alias("doc_id"), F.col("label").alias("group_id"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,10 +30,37 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: ``df`` written to the shared folder as Parquet and read back."""
-    path = new_path(df.sparkSession, name)
+    """Cut the lineage: ``df`` written to the shared folder as Parquet and read back.
+
+    Nothing refers to the shuffles of the finished write any more; Spark's cleaner deletes their files when the driver
+    collects garbage, which is asked for here so that they don't stay on the executors' disks for the rest of the job.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table made by ``written`` that nothing will read again."""
+    spark = df.sparkSession
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: ids that are broadcast at most; more go through a shuffle
+BROADCAST_IDS = 1_000_000
+
+
+def narrowed(docs: DataFrame, ids: DataFrame, column: str, limit: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``docs`` whose ``column`` is among those of ``ids`` (a written table), left out before a shuffle of their texts if there are few enough ids to broadcast; all rows otherwise. A join with ids has to follow."""
+    wanted = ids.select(column).distinct()
+    if wanted.count() > limit:
+        return docs
+    return docs.join(F.broadcast(wanted), column, "left_semi")
 
 
 def local_path(path: str) -> str:
