@@ -1,19 +1,421 @@
-"""The catalogue of queries over the driver's tables."""
+"""The catalogue of queries over the driver's tables, and their DuckDB twins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .. import schema
+from ..functions import similarity as S
+from ..functions import text as T
+from ..operators import graph, hybrid, incremental, items, lexical, navigate, vectors
+from ..operators.pagerank import pagerank
+from . import trade
+from .trade import EDGES_SQL, NODES_SQL, pagerank_sql, table
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+SEARCH = "the thinor erhein"
+STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+TOKENS_SQL = rf"""toks AS (SELECT doc_id, lang, list_filter(list_transform(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_.]+'), lambda w: regexp_replace(w, '^\.+|\.+$', '', 'g')), lambda w: w <> '' AND w NOT IN ({STOP})) AS ws FROM documents)"""
+LONG_BM25 = f"""hits AS (SELECT doc_id, len(ws) AS dl, t.term, len(list_filter(ws, lambda w: w = t.term)) AS tf FROM sized, (SELECT unnest(['erhein', 'thinor']) AS term) t WHERE list_contains(ws, t.term)),
+stats AS (SELECT count(*) AS n_docs, avg(CASE WHEN len(ws) > 0 THEN len(ws) END) AS avgdl FROM sized), dfs AS (SELECT term, count(*) AS df FROM hits GROUP BY term)"""
+BM25 = "sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))"
+VECTOR = [round(0.3 * (-1) ** i / (1 + i % 7), 6) for i in range(64)]
+VECTOR_SQL = f"{VECTOR}::DOUBLE[]"
+DOT_SQL = f"list_dot_product(embedding::DOUBLE[], {VECTOR_SQL})"
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 top 20 with previews."""
+    return lexical_bm25_topk(spark, sf_dir)
+
+
+# text ---------------------------------------------------------------------------------------------------------------
+
+SPLIT_SQL = r"""list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace({0}, '[^A-Za-z0-9_.]', ' ', 'g'), ' '), lambda w: w <> ''),
+  lambda w: list_concat([lower(w)], list_filter(list_transform(string_split(regexp_replace(regexp_replace(w, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '(.)([A-Z][a-z])', '\1 \2', 'g'), ' '), lambda p: lower(trim(p))), lambda p: p <> '' AND p <> lower(w))))))"""
+
+
+@query(f"SELECT p_partkey, array_to_string(list_sort({SPLIT_SQL.format('v')}), ' ') AS words FROM (SELECT p_partkey, p_name || ' CompPropertiesTick HTTPServer9Foo ' || p_type AS v FROM part)")
+def split_identifiers(spark, sf_dir):
+    v = F.concat("p_name", F.lit(" CompPropertiesTick HTTPServer9Foo "), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(T.split_identifiers(F.array(v))), " ").alias("words"))
+
+
+@query("SELECT doc_id, CASE WHEN length(t) <= 320 THEN t ELSE substr(t, 1, 320) || ' …' END AS preview FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)")
+def preview_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
+
+
+@query(f"WITH {TOKENS_SQL} SELECT doc_id, len(ws) AS n_tokens, len(list_distinct(ws)) AS n_distinct FROM toks")
+def keyword_tokens(spark, sf_dir):
+    w = T.tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(w).alias("n_tokens"), F.size(F.array_distinct(w)).alias("n_distinct"))
+
+
+@query(r"SELECT e.event_id, list_aggregate(regexp_extract_all(props, '[A-Za-z_][A-Za-z0-9_]*'), 'string_agg', ' ') AS names FROM events e")
+def identifier_tokens(spark, sf_dir):
+    names = T.identifier_tokens(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", F.when(F.size(names) > 0, F.array_join(names, " ")).alias("names"))
+
+
+CLASS_SQL = rf"""CASE WHEN trim(v) = '' OR regexp_matches(v, '[ \n<>]') OR regexp_matches(v, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') OR lower(v) IN ('true', 'false') OR NOT regexp_matches(v, '^[\p{{L}}_]') THEN false
+ WHEN contains(v, '.') THEN true WHEN regexp_matches(v, '^({"|".join(T.CLASS_PREFIXES)})') OR regexp_matches(v, '({"|".join(T.CLASS_SUFFIXES)})$') THEN true ELSE regexp_matches(v, '^\p{{Lu}}') AND length(v) > 2 END"""
+
+
+@query(f"SELECT doc_id, n, {CLASS_SQL} AS is_class FROM (SELECT doc_id, i AS n, list_extract(string_split(text, ' '), i) AS v FROM documents, (SELECT unnest(range(1, 21)) AS i) WHERE i <= len(string_split(text, ' ')))")
+def class_name_heuristic(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 20)).alias("n", "v"))
+    return words.select("doc_id", (F.col("n") + 1).alias("n"), T.looks_like_class(F.col("v")).alias("is_class"))
+
+
+@query("SELECT p_partkey, CASE WHEN contains(v, '.') THEN v WHEN starts_with(v, 'Verb_') OR starts_with(v, 'Graphic_') OR starts_with(v, 'Hediff') OR starts_with(v, 'ThinkNode') THEN 'Engine.' || v ELSE 'Game.' || v END AS name FROM (SELECT p_partkey, list_extract(['Verb_', 'Hediff', 'X.', '', 'Graphic_'], CAST(p_partkey % 5 AS INTEGER) + 1) || replace(p_brand, '#', '') AS v FROM part)")
+def normalize_class_name(spark, sf_dir):
+    starts = F.array(*(F.lit(x) for x in ("Verb_", "Hediff", "X.", "", "Graphic_")))
+    v = F.concat(F.element_at(starts, (F.col("p_partkey") % 5 + 1).cast("int")), F.replace("p_brand", F.lit("#"), F.lit("")))
+    return table(spark, sf_dir, "part").select("p_partkey", T.qualified_class(v).alias("name"))
+
+
+@query("SELECT p_partkey, replace(replace(v, 'CompProperties_', ''), 'Comp_', '') AS name, 'public ' || p_brand || ' ' || v || '(' || p_type || ' a, int b)' AS signature, 'passage: ' || trim(v) AS embedding_text, v || '.' || p_brand AS symbol_id FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'CompProperties_' ELSE 'Comp_' END || p_name AS v FROM part)")
+def record_construction(spark, sf_dir):
+    v = F.concat(F.when(F.col("p_partkey") % 2 == 0, "CompProperties_").otherwise("Comp_"), F.col("p_name"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", T.plain_component(v).alias("name"), T.signature(F.array(F.lit("public")), F.col("p_brand"), v, F.array(F.concat("p_type", F.lit(" a")), F.lit("int b"))).alias("signature"), T.embedding_text(v, F.lit(None).cast("string")).alias("embedding_text"), T.symbol_id(v, F.lit(""), F.col("p_brand")).alias("symbol_id")
+    )
+
+
+@query("SELECT doc_id, CASE WHEN length(text) >= 40 THEN substr(text, 11, 30) END AS part FROM documents")
+def text_slice(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.text_slice(F.col("text"), F.lit(10), F.lit(40)).alias("part"))
+
+
+@query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)) AS text, len(string_split(text, chr(10))) AS total_lines, least(len(string_split(text, chr(10))), 3) AS shown_lines, len(string_split(text, chr(10))) > 3 AS truncated FROM documents")
+def get_item_lines(spark, sf_dir):
+    return items.item(table(spark, sf_dir, "documents").select("doc_id", "text"), 3)
+
+
+# lexical ------------------------------------------------------------------------------------------------------------
+
+
+def _posted(spark, sf_dir):
+    return lexical.postings(table(spark, sf_dir, "documents"), "doc_id", {"text": T.tokens(F.col("text"))})
+
+
+@query(f"WITH {TOKENS_SQL}, w AS (SELECT doc_id, unnest(ws) AS term FROM toks) SELECT 'text' AS field, term, count(DISTINCT doc_id) AS df FROM w GROUP BY term")
+def term_stats(spark, sf_dir):
+    return lexical.term_stats(_posted(spark, sf_dir))
+
+
+@query(f"WITH {TOKENS_SQL} SELECT 'text' AS field, doc_id, len(ws) AS dl FROM toks WHERE len(ws) > 0")
+def doc_stats(spark, sf_dir):
+    return lexical.doc_stats(_posted(spark, sf_dir))
+
+
+@query(f"WITH {TOKENS_SQL}, w AS (SELECT doc_id, unnest(ws) AS term FROM toks) SELECT 'text' AS field, term, doc_id, count(*) AS tf FROM w GROUP BY term, doc_id")
+def index_postings(spark, sf_dir):
+    return _posted(spark, sf_dir)
+
+
+def _search(spark, sf_dir, similarity="bm25", lang=None):
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.where(F.col("lang") == lang) if lang else docs
+    return lexical.scores(docs, "doc_id", {"text": T.tokens(F.col("text"))}, SEARCH, similarity=similarity)
+
+
+def _topk_sql(where: str, value: str) -> str:
+    return f"WITH {TOKENS_SQL}, sized AS (SELECT * FROM toks WHERE {where}), {LONG_BM25} SELECT doc_id, round({value}, 6) AS score FROM hits JOIN dfs USING (term), stats GROUP BY doc_id ORDER BY {value} DESC, doc_id LIMIT 20"
+
+
+@query(f"WITH s AS ({_topk_sql('true', BM25)}) SELECT s.doc_id, s.score, CASE WHEN length(t) <= 320 THEN t ELSE substr(t, 1, 320) || ' …' END AS preview FROM s JOIN (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents) d ON d.doc_id = s.doc_id")
+def lexical_bm25_topk(spark, sf_dir):
+    best = lexical.top_k(_search(spark, sf_dir), 20)
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
+    return docs.join(F.broadcast(best), "doc_id").select("doc_id", F.round("score", 6).alias("score"), "preview")  # 20 rows
+
+
+@query(_topk_sql("true", "sum(sqrt(tf) * (1 + ln(n_docs / (df + 1))) * (1 + ln(n_docs / (df + 1))) / sqrt(dl)) * count(*) / 2"))
+def lexical_classic_topk(spark, sf_dir):
+    return lexical.top_k(_search(spark, sf_dir, "classic"), 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_topk_sql("lang = 'en'", BM25))
+def lexical_lang_filter(spark, sf_dir):
+    return lexical.top_k(_search(spark, sf_dir, lang="en"), 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+# vectors ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT vec_id AS id, round({DOT_SQL}, 6) AS score FROM embeddings ORDER BY {DOT_SQL} DESC, vec_id LIMIT 20")
+def vector_topk(spark, sf_dir):
+    return vectors.top_k(table(spark, sf_dir, "embeddings"), VECTOR, 20, "vec_id", "embedding").select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id AS id, round({DOT_SQL}, 6) AS score FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en') ORDER BY {DOT_SQL} DESC, vec_id LIMIT 20")
+def vector_topk_filtered(spark, sf_dir):
+    wanted = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string"))
+    return vectors.top_k(table(spark, sf_dir, "embeddings"), VECTOR, 20, "vec_id", "embedding", wanted).select("id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS length, round(list_extract(embedding, 1)::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS first FROM embeddings")
+def l2_normalize(spark, sf_dir):
+    v = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(S.norm(v), 5).alias("length"), F.round(F.element_at(S.l2_normalized(v), 1), 5).alias("first"))
+
+
+FNV_SQL = "CAST(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) % 768 AS BIGINT)"
+
+
+@query(f"WITH {TOKENS_SQL}, w AS (SELECT doc_id, unnest(ws) AS w FROM toks), b AS (SELECT doc_id, {FNV_SQL} AS bucket, count(*) AS k FROM w GROUP BY ALL) SELECT doc_id, bucket, round(k / sqrt(sum(k * k) OVER (PARTITION BY doc_id)), 6) AS value FROM b")
+def hash_embed(spark, sf_dir):
+    v = vectors.hash_embed(table(spark, sf_dir, "documents"), "doc_id", T.tokens(F.col("text")))
+    return v.select(F.col("id").alias("doc_id"), F.posexplode("vector").alias("bucket", "value")).where("value <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+_LEX = _topk_sql("true", BM25).replace("LIMIT 20", "LIMIT 100").replace(f"round({BM25}, 6)", BM25)
+_HYBRID = f"lex AS ({_LEX}), sem AS (SELECT vec_id AS id, {DOT_SQL} AS s FROM embeddings WHERE vec_id IN (SELECT doc_id FROM lex) ORDER BY s DESC, id LIMIT 20)"
+
+
+def _stages(spark, sf_dir):
+    lex = lexical.top_k(_search(spark, sf_dir), 100).withColumnRenamed("doc_id", "id")
+    sem = vectors.top_k(table(spark, sf_dir, "embeddings"), VECTOR, 20, "vec_id", "embedding", lex.select("id"))
+    return lex, sem
+
+
+@query(f"WITH {_HYBRID} SELECT id, round(CASE WHEN max(s) OVER () > 0 THEN s / max(s) OVER () ELSE 0 END, 6) AS score, 'semantic' AS source FROM sem")
+def semantic_rank(spark, sf_dir):
+    return hybrid.semantic_only(_stages(spark, sf_dir)[1]).select("id", F.round("score", 6).alias("score"), "source")
+
+
+@query(f"""WITH {_HYBRID}, x AS (SELECT coalesce(doc_id, id) AS id, score AS l, s FROM lex FULL JOIN sem ON doc_id = id)
+SELECT id, round(coalesce(CASE WHEN max(l) OVER () > 0 THEN l / max(l) OVER () END, 0) + 2 * coalesce(CASE WHEN max(s) OVER () > 0 THEN s / max(s) OVER () END, 0) + CASE WHEN l IS NOT NULL AND s IS NOT NULL THEN 1 ELSE 0 END, 6) AS score,
+CASE WHEN l IS NOT NULL AND s IS NOT NULL THEN 'mixed' WHEN l IS NOT NULL THEN 'lexical' ELSE 'semantic' END AS source FROM x""")
+def hybrid_rank(spark, sf_dir):
+    return hybrid.merged(*_stages(spark, sf_dir)).select("id", F.round("score", 6).alias("score"), "source")
+
+
+# graph --------------------------------------------------------------------------------------------------------------
+
+
+def _refs(spark, sf_dir):
+    words = table(spark, sf_dir, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("ref_name"))
+    return words.withColumn("kind", F.lit("References"))
+
+
+def _symbols(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    return docs.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.element_at(F.split("text", " "), 1).alias("symbol_name"))
+
+
+REFS_SQL = """refs AS (SELECT 'page:' || page_id AS src, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS ref_name FROM pages),
+syms AS (SELECT 'doc:' || doc_id AS id, lower(string_split(text, ' ')[1]) AS name FROM documents WHERE lang = 'en')"""
+
+
+@query(f"WITH {REFS_SQL} SELECT src, id AS dst, 'References' AS kind, count(*) AS n FROM refs JOIN syms ON lower(ref_name) = name GROUP BY ALL")
+def resolve_refs_equi(spark, sf_dir):
+    return graph.resolve(_refs(spark, sf_dir), _symbols(spark, sf_dir))
+
+
+@query(f"""WITH {REFS_SQL}, dotted AS (SELECT src, 'x.' || ref_name AS ref_name FROM refs UNION ALL SELECT * FROM refs), direct AS (SELECT src, id, ref_name FROM dotted JOIN syms ON lower(ref_name) = name),
+rest AS (SELECT src, id FROM dotted d JOIN syms ON list_extract(string_split(lower(ref_name), '.'), -1) = name WHERE contains(ref_name, '.') AND lower(ref_name) NOT IN (SELECT name FROM syms WHERE name IS NOT NULL))
+SELECT src, id AS dst, 'References' AS kind, count(*) AS n FROM (SELECT src, id FROM direct UNION ALL SELECT src, id FROM rest) GROUP BY ALL""")
+def resolve_refs_suffix(spark, sf_dir):
+    refs = _refs(spark, sf_dir)
+    return graph.resolve(refs.withColumn("ref_name", F.concat(F.lit("x."), "ref_name")).unionByName(refs), _symbols(spark, sf_dir), "suffix")
+
+
+@query(f"WITH {REFS_SQL} SELECT name, len(list(id)) AS n, min(id) AS first FROM syms GROUP BY name")
+def symbols_by_name(spark, sf_dir):
+    x = graph.symbols_by_name(_symbols(spark, sf_dir))
+    return x.select("name", F.size("ids").alias("n"), F.element_at("ids", 1).alias("first"))
+
+
+@query(f"WITH {EDGES_SQL} SELECT * FROM edges")
+def edges_union(spark, sf_dir):
+    return trade.edges(spark, sf_dir)
+
+
+@query(f"WITH {EDGES_SQL} SELECT dst AS src, src AS dst, 'CSharpUsedByDef' AS kind, count(*) AS n FROM bind GROUP BY ALL")
+def edges_reverse(spark, sf_dir):
+    return graph.reverse_bindings(trade.bindings(spark, sf_dir))
+
+
+@query(f"WITH {NODES_SQL}, {EDGES_SQL} SELECT e.* FROM edges e WHERE src IN (SELECT id FROM nodes WHERE id NOT LIKE '%7') AND dst IN (SELECT id FROM nodes WHERE id NOT LIKE '%7')")
+def edges_valid(spark, sf_dir):
+    return graph.valid(trade.edges(spark, sf_dir), trade.nodes(spark, sf_dir).where("id NOT LIKE '%7'"))
+
+
+@query(f"WITH {EDGES_SQL} SELECT DISTINCT src, dst, kind FROM rawedges WHERE lower(src) <> lower(dst)")
+def edges_dedupe(spark, sf_dir):
+    return graph.without_loops(trade.edges(spark, sf_dir)).select("src", "dst", "kind")
+
+
+@query(f"WITH {EDGES_SQL}, o AS (SELECT src AS id, sum(n)::BIGINT AS out_degree FROM edges GROUP BY src), i AS (SELECT dst AS id, sum(n)::BIGINT AS in_degree FROM edges GROUP BY dst) SELECT id, out_degree, in_degree FROM o FULL JOIN i USING (id)")
+def degree_counts(spark, sf_dir):
+    e = trade.edges(spark, sf_dir)
+    return graph.degrees(e, "src", "out_degree").join(graph.degrees(e, "dst", "in_degree"), "id", "full_outer")
+
+
+INDEX_SQL = "idx AS (SELECT row_number() OVER (ORDER BY id) - 1 AS node_id, id FROM (SELECT DISTINCT id FROM nodes))"
+
+
+@query(f"WITH {NODES_SQL}, {INDEX_SQL} SELECT * FROM idx")
+def node_index(spark, sf_dir):
+    return graph.node_index(trade.nodes(spark, sf_dir))
+
+
+@query(f"WITH {NODES_SQL}, {EDGES_SQL}, {INDEX_SQL}, d AS (SELECT node_id, coalesce(sum(n), 0)::BIGINT AS n_edges FROM idx LEFT JOIN edges ON src = id GROUP BY node_id) SELECT node_id, n_edges, (sum(n_edges) OVER (ORDER BY node_id) - n_edges)::BIGINT AS pointer FROM d")
+def row_pointers(spark, sf_dir):
+    return graph.row_pointers(graph.node_index(trade.nodes(spark, sf_dir)), trade.edges(spark, sf_dir))
+
+
+@query(f"WITH {EDGES_SQL} SELECT src AS id, count(*) AS n_neighbours, min(dst) AS first FROM edges GROUP BY src")
+def adjacency(spark, sf_dir):
+    return graph.adjacency(trade.edges(spark, sf_dir)).select("id", F.size("neighbours").cast("long").alias("n_neighbours"), F.element_at("neighbours", 1)["id"].alias("first"))
+
+
+@query(pagerank_sql(5) + " SELECT id, round(score, 9) AS score FROM pr5")
+def pagerank_k(spark, sf_dir):
+    return pagerank(trade.nodes(spark, sf_dir), trade.edges(spark, sf_dir), iterations=5, tolerance=0).select("id", F.round("score", 9).alias("score"))
+
+
+WEIGHT_SQL = "CASE kind " + " ".join(f"WHEN '{k[0]}' THEN {k[2]}" for k in schema.EDGE_KINDS) + " ELSE 0.1 END"
+
+
+def _page_sql(where: str, other: str, page: int, size: int, more: str = "", iterations: int = 2) -> str:
+    label = "CASE kind " + " ".join(f"WHEN '{k[0]}' THEN '{k[3] if other == 'dst' else k[4]}'" for k in schema.EDGE_KINDS) + " ELSE kind END"
+    return f"""{pagerank_sql(iterations)}, near AS (SELECT {other} AS id, kind, sum(n)::BIGINT AS n FROM edges WHERE {where} GROUP BY ALL), f AS (SELECT * FROM near {more}),
+s AS (SELECT f.id, f.kind, f.n, coalesce(p.score, 0) * 1e7 * {WEIGHT_SQL} * sqrt(n) AS score FROM f LEFT JOIN pr{iterations} p ON p.id = f.id)
+SELECT id, kind, n, round(score, 3) AS score, {label} AS label, (SELECT count(*) FROM s) AS total_count, CAST(ceil((SELECT count(*) FROM s) / {size}.0) AS BIGINT) AS pages FROM s ORDER BY s.score DESC, id, kind LIMIT {size} OFFSET {(page - 1) * size}"""
+
+
+def _page(spark, sf_dir, symbol, direction, page, size, kind=None):
+    e = trade.edges(spark, sf_dir)
+    ranks = pagerank(trade.nodes(spark, sf_dir), e, iterations=2, tolerance=0)
+    rows = navigate.query(e, ranks, symbol, direction, kind, page, size, name_similarity=False)
+    return rows.select("id", "kind", "n", F.round("score", 3).alias("score"), "label", "total_count", "pages")
+
+
+@query(_page_sql("src = 'cust:1' AND kind <> 'CSharpUsedByDef'", "dst", 1, 10))
+def uses_page(spark, sf_dir):
+    return _page(spark, sf_dir, "cust:1", "uses", 1, 10)
+
+
+@query(_page_sql("dst = 'xml:nation:3'", "src", 2, 5))
+def used_by_page(spark, sf_dir):
+    return _page(spark, sf_dir, "xml:nation:3", "used_by", 2, 5)
+
+
+@query(_page_sql("dst = 'xml:region:1'", "src", 1, 30, "WHERE lower(id) LIKE 'xml:%'"))
+def used_by_xml_only(spark, sf_dir):
+    return _page(spark, sf_dir, "xml:region:1", "used_by", 1, 30, "xml")
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, steps AS (SELECT DISTINCT src, dst FROM edges WHERE kind <> 'CSharpUsedByDef'), hop(id, distance) AS (SELECT dst, 1 FROM steps WHERE src = 'cust:1' UNION SELECT dst, distance + 1 FROM hop JOIN steps ON src = id WHERE distance < 3)
+SELECT id, min(distance) AS distance FROM hop WHERE id <> 'cust:1' GROUP BY id""")
+def n_hop(spark, sf_dir):
+    return navigate.n_hop(trade.edges(spark, sf_dir), "cust:1", "uses", 3).select("id", "distance")
+
+
+@query("SELECT id, round(0.3 * jaro_winkler_similarity('part:12', id) + 0.3 * least(6.0 / length(id), 1) + 0.4 * ((list_contains(string_split(id, ':'), 'part')::INT + list_contains(string_split(id, ':'), '12')::INT) / 2), 6) AS score FROM (SELECT 'part:' || p_partkey AS id FROM part) WHERE contains(id, 'part') AND contains(id, '12')")
+def resolve_symbol(spark, sf_dir):
+    nodes = table(spark, sf_dir, "part").select(trade.name("part", "p_partkey").alias("id"))
+    return navigate.fuzzy_rank(nodes, "part:12", capped=True).select("id", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT id, round(CASE kind WHEN 'type' THEN 1000 + CASE WHEN ends_with(low, '.steel') THEN 500 WHEN ends_with(low, 'steel') THEN 200 ELSE 0 END WHEN 'property' THEN 50 WHEN 'field' THEN 40 ELSE 10 END + 20 * contains(low, 'steel')::INT - 0.2 * length(id) - CASE WHEN contains(id, '(') THEN 200 ELSE 0 END, 4) AS score
+FROM (SELECT id, kind, lower(id) AS low FROM (SELECT p_brand || '.' || replace(p_type, ' ', '.') || '#' || p_partkey AS id, list_extract(['type', 'method', 'property', 'field'], CAST(p_partkey % 4 AS INTEGER) + 1) AS kind FROM part)) WHERE contains(low, 'steel')""")
+def fuzzy_symbol_rank(spark, sf_dir):
+    kinds = F.element_at(F.array(*(F.lit(x) for x in ("type", "method", "property", "field"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("."), F.replace("p_type", F.lit(" "), F.lit(".")), F.lit("#"), F.col("p_partkey").cast("string")).alias("id"), kinds.alias("symbol_kind"), F.lit("csharp").alias("lang"))
+    return items.fuzzy(rows, "Steel").select("id", F.round("score", 4).alias("score"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {c}, {w}, '{o}', '{i}', {str(u).lower()})" for k, c, w, o, i, u in schema.EDGE_KINDS) + ") AS t(kind, code, weight, label_out, label_in, uses_visible)")
+def edge_weights_dim(spark, sf_dir):
+    return schema.edge_kinds(spark)
+
+
+@query(f"WITH {EDGES_SQL} SELECT kind, " + "CASE kind " + " ".join(f"WHEN '{k[0]}' THEN {k[1]}" for k in schema.EDGE_KINDS) + " ELSE 0 END AS code, kind AS back, sum(n)::BIGINT AS n FROM edges GROUP BY kind")
+def edge_kind_codes(spark, sf_dir):
+    e = trade.edges(spark, sf_dir).groupBy("kind").agg(F.sum("n").alias("n")).withColumn("code", schema.encode(F.col("kind")))
+    return e.select("kind", "code", schema.decode(F.col("code")).alias("back"), "n")
+
+
+# tables and increments ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT text AS id, count(*) AS occurrences, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicates_report(spark, sf_dir):
+    x = graph.duplicate_ids(table(spark, sf_dir, "documents"), "text")
+    return x.select("id", "occurrences", F.array_join("langs", ",").alias("langs"))
+
+
+@query("SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) = 1")
+def dedupe_first_wins(spark, sf_dir):
+    return graph.first_of_each(table(spark, sf_dir, "documents").select("doc_id", "text"), F.lower("text"), [F.asc("doc_id")])
+
+
+OLD_SQL = "old AS (SELECT o_orderkey AS path, o_orderdate + INTERVAL 1 MILLISECOND * CASE WHEN o_orderkey % 3 = 0 THEN 400 WHEN o_orderkey % 3 = 1 THEN 600 ELSE 0 END AS mtime FROM orders WHERE o_orderkey % 5 <> 0), cur AS (SELECT o_orderkey AS path, o_orderdate AS mtime FROM orders WHERE o_orderkey % 7 <> 0)"
+
+
+def _snapshots(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").cast("timestamp").alias("mtime"))
+    shift = F.expr("make_dt_interval(0, 0, 0, CASE WHEN path % 3 = 0 THEN 0.4 WHEN path % 3 = 1 THEN 0.6 ELSE 0 END)")
+    return o.where("path % 7 <> 0"), o.where("path % 5 <> 0").withColumn("mtime", F.col("mtime") + shift)
+
+
+@query(f"WITH {OLD_SQL} SELECT path FROM cur LEFT JOIN old USING (path) WHERE old.mtime IS NULL OR abs(epoch_us(cur.mtime) - epoch_us(old.mtime)) > 500000")
+def changed_files(spark, sf_dir):
+    return incremental.changed(*_snapshots(spark, sf_dir)).select("path")
+
+
+@query(f"WITH {OLD_SQL} SELECT path FROM old WHERE path NOT IN (SELECT path FROM cur)")
+def deleted_files(spark, sf_dir):
+    return incremental.deleted(*_snapshots(spark, sf_dir)).select("path")
+
+
+@query("""WITH fresh AS (SELECT user_id AS id, event_id, value FROM events WHERE event_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1), base AS (SELECT user_id AS id, event_id, value FROM events WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+SELECT * FROM base WHERE id NOT IN (SELECT id FROM fresh) UNION ALL SELECT * FROM fresh""")
+def upsert_last_wins(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", "value")
+    last = lambda rows: incremental.last_of_each(rows, "id", ["event_id"])
+    return incremental.upsert(last(e.where("event_id % 2 = 0")), last(e.where("event_id % 2 = 1")))
+
+
+@query("SELECT doc_id, list_extract(string_split(CASE WHEN trim(text) <> '' THEN text ELSE source END, chr(10)), 1) AS title, round_even(n_chars / 7.0, 4) AS score, CASE WHEN lang = 'en' THEN '' ELSE substr(text, 1, 10) END AS shown FROM documents")
+def search_response(spark, sf_dir):
+    title = F.split(F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.col("source")), "\n")[0]
+    plain = F.split(F.when(F.trim("text") != "", F.col("text")).otherwise(F.col("source")), "\n")[0]
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.coalesce(plain, title).alias("title"), F.bround(F.col("n_chars") / 7.0, 4).cast("double").alias("score"), F.when(F.col("lang") == "en", "").otherwise(F.substring("text", 1, 10)).alias("shown"))
+
+
+@query("SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS rank, count(*) OVER (PARTITION BY c_nationkey) AS total, CAST(ceil(count(*) OVER (PARTITION BY c_nationkey) / 30.0) AS BIGINT) AS pages FROM customer")
+def paging(spark, sf_dir):
+    c = navigate.numbered(table(spark, sf_dir, "customer"), "c_nationkey", [F.desc("c_acctbal"), F.asc("c_custkey")])
+    total = F.count("*").over(Window.partitionBy("c_nationkey"))
+    return c.select("c_nationkey", "c_custkey", "rank", total.alias("total"), F.ceil(total / 30).alias("pages"))
