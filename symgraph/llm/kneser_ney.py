@@ -25,7 +25,7 @@ from .textblock import U, Words, blocks, ints, mix
 
 PAD, BOS, EOS = U(0), U(1), U(2)
 #: words gathered before trigrams are packed; text bytes of a bucket; entries of a file
-FLUSH, BUCKET_BYTES, FILE_ENTRIES = 1_000_000, 16 << 20, 4_000_000
+FLUSH, BUCKET_BYTES, FILE_ENTRIES = 500_000, 6 << 20, 1_000_000
 #: documents that are looked at to see which words are to be spread (this only places work; counts are over all)
 SKEW_DOCUMENTS = 500
 
@@ -149,7 +149,7 @@ def _bigrams(b: np.ndarray, c: np.ndarray, n: np.ndarray, least: int, shift: int
     at, sums = _sums(b, n, least)
     some = sums[:, 2:].sum(1) > 0
     words, times = np.unique(c, return_counts=True)
-    return [*_entries("bi", key(b[kept], c[kept]), n[kept][:, None], shift), *_entries("by1", key(b[at][some]), sums[some], shift), *_entries("uni", words, times[:, None], shift + 24 if shift < 40 else 64), _classes("bi", n)]
+    return [*_entries("bi", key(b[kept], c[kept]), n[kept][:, None], shift), *_entries("by1", key(b[at][some]), sums[some], shift), *_entries("uni", words, times[:, None], shift - 24), _classes("bi", n)]
 
 
 def _reduce(hot: np.ndarray, least: int, shift: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -235,7 +235,7 @@ class Model:
 
     def look(self, kind: str, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Whether each key is there, and its values (0 if not). Keys are sorted first, so that the mapped pages are read in order."""
-        shift = self.shift if kind != "uni" else (self.shift + 24 if self.shift < 40 else 64)
+        shift = self.shift if kind != "uni" else self.shift - 24
         order = np.argsort(keys)
         asked = keys[order]
         there, values = np.zeros(len(keys), bool), np.zeros((len(keys), width), np.float64)
@@ -324,8 +324,7 @@ def train(docs: DataFrame, min_count: int = 2, text_col: str = "text") -> Model:
     packed = docs.mapInArrow(_map(hot, n_buckets), "bucket int, payload binary")
     first = written(packed.groupBy("bucket").applyInPandas(_reduce(hot, min_count, shift), ROWS), "ngram-parts")
     second = first.where("kind = 'hot'").groupBy("file").applyInPandas(_reduce_hot(min_count, shift), ROWS)
-    parts = first.where("kind <> 'hot'").unionByName(second)
-    parts = written(parts, "ngram-entries")
+    parts = first.where("kind <> 'hot'").unionByName(written(second, "hot-ngrams"))
     classes = {r.kind: list(r.c) for r in parts.where("n = 0 AND length(payload) = 0").groupBy("kind").agg(F.array(*(F.sum(F.col("classes")[i]) for i in range(5))).alias("c")).collect()}
     files = parts.where("n > 0").groupBy("kind", "file").applyInPandas(_write(path), "kind string, file long, n long, classes array<long>").collect()
     have: dict[str, list[int]] = {}

@@ -84,7 +84,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def split(column: pa.Array, chunk: int = 1 << 21) -> Words:
+def split(column: pa.Array, chunk: int = 1 << 19) -> Words:
     data, at = buffers(column)
     word = np.zeros(len(data) + 1, bool)
     np.greater(data, 32, out=word[:-1])
