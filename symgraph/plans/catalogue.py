@@ -189,10 +189,10 @@ def l2_normalize(spark, sf_dir):
 FNV_SQL = "CAST(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) % 768 AS BIGINT)"
 
 
-@query(f"WITH {TOKENS_SQL}, w AS (SELECT doc_id, unnest(ws) AS w FROM toks), b AS (SELECT doc_id, {FNV_SQL} AS bucket, count(*) AS k FROM w GROUP BY ALL) SELECT doc_id, bucket, round(k / sqrt(sum(k * k) OVER (PARTITION BY doc_id)), 6) AS value FROM b")
+@query(f"WITH {TOKENS_SQL}, w AS (SELECT doc_id, unnest(ws) AS w FROM toks), b AS (SELECT doc_id, {FNV_SQL} AS bucket, count(*) AS k FROM w GROUP BY ALL) SELECT doc_id, bucket, round(k / sqrt(sum(k * k) OVER (PARTITION BY doc_id)), 4) AS value FROM b")
 def hash_embed(spark, sf_dir):
     v = vectors.hash_embed(table(spark, sf_dir, "documents"), "doc_id", T.tokens(F.col("text")))
-    return v.select(F.col("id").alias("doc_id"), F.posexplode("vector").alias("bucket", "value")).where("value <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("value").cast("double"), 6).alias("value"))
+    return v.select(F.col("id").alias("doc_id"), F.posexplode("vector").alias("bucket", "value")).where("value <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
 _LEX = _topk_sql("true", BM25).replace("LIMIT 20", "LIMIT 100").replace(f"round({BM25}, 6)", BM25)
@@ -346,15 +346,15 @@ def resolve_symbol(spark, sf_dir):
     return navigate.fuzzy_rank(nodes, "part:12", capped=True).select("id", F.round("score", 6).alias("score"))
 
 
-@query("""SELECT id, round(CASE kind WHEN 'type' THEN 1000 + CASE WHEN ends_with(low, '.steel') THEN 500 WHEN ends_with(low, 'steel') THEN 200 ELSE 0 END WHEN 'property' THEN 50 WHEN 'field' THEN 40 ELSE 10 END + 20 * contains(low, 'steel')::INT - 0.2 * length(id) - CASE WHEN contains(id, '(') THEN 200 ELSE 0 END, 4) AS score
-FROM (SELECT id, kind, lower(id) AS low FROM (SELECT p_brand || '.' || replace(p_type, ' ', '.') || '#' || p_partkey AS id, list_extract(['type', 'method', 'property', 'field'], CAST(p_partkey % 4 AS INTEGER) + 1) AS kind FROM part)) WHERE contains(low, 'steel')""")
+@query("""SELECT id, round(CASE kind WHEN 'type' THEN 1000 + CASE WHEN ends_with(low, '.economy') THEN 500 WHEN ends_with(low, 'economy') THEN 200 ELSE 0 END WHEN 'property' THEN 50 WHEN 'field' THEN 40 ELSE 10 END + 20 * contains(low, 'economy')::INT - 0.2::DOUBLE * length(id) - CASE WHEN contains(id, '(') THEN 200 ELSE 0 END, 4) AS score
+FROM (SELECT id, kind, lower(id) AS low FROM (SELECT p_brand || '#' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.' ELSE 'x' END || p_type || CASE p_partkey % 5 WHEN 0 THEN '(int)' ELSE '' END AS id, list_extract(['type', 'method', 'property', 'field'], CAST(p_partkey % 4 AS INTEGER) + 1) AS kind FROM part)) WHERE contains(low, 'economy')""")
 def fuzzy_symbol_rank(spark, sf_dir):
     kinds = F.element_at(F.array(*(F.lit(x) for x in ("type", "method", "property", "field"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    rows = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("."), F.replace("p_type", F.lit(" "), F.lit(".")), F.lit("#"), F.col("p_partkey").cast("string")).alias("id"), kinds.alias("symbol_kind"), F.lit("csharp").alias("lang"))
-    return items.fuzzy(rows, "Steel").select("id", F.round("score", 4).alias("score"))
+    rows = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("#"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, ".").otherwise("x"), "p_type", F.when(F.col("p_partkey") % 5 == 0, "(int)").otherwise("")).alias("id"), kinds.alias("symbol_kind"), F.lit("csharp").alias("lang"))
+    return items.fuzzy(rows, "Economy").select("id", F.round("score", 4).alias("score"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {c}, {w}, '{o}', '{i}', {str(u).lower()})" for k, c, w, o, i, u in schema.EDGE_KINDS) + ") AS t(kind, code, weight, label_out, label_in, uses_visible)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {c}, {w}::DOUBLE, '{o}', '{i}', {str(u).lower()})" for k, c, w, o, i, u in schema.EDGE_KINDS) + ") AS t(kind, code, weight, label_out, label_in, uses_visible)")
 def edge_weights_dim(spark, sf_dir):
     return schema.edge_kinds(spark)
 
