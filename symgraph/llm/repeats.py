@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drop, narrowed, written
 from .textblock import U, Words, blocks, grams, ints, signed, sliding, spans
 
 #: words of window text in a shard
@@ -123,19 +123,22 @@ def repeated_spans(docs: DataFrame, kernel: Kernel, min_words: int, text_col: st
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     anchors = written(docs.mapInArrow(_anchors(min_words), "fp long, win long, doc_id long, pos int, runs int"), "anchors")
     shared = anchors.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("fp")
-    distinct = anchors.join(shared, "fp").groupBy("fp", "win").agg(F.min(F.struct("doc_id", "pos", "runs")).alias("one"), F.count("*").alias("n"), F.max("doc_id").alias("last_doc"))
+    kept = written(anchors.join(shared, "fp"), "shared-anchors")
+    drop(anchors)
+    distinct = kept.groupBy("fp", "win").agg(F.min(F.struct("doc_id", "pos", "runs")).alias("one"), F.count("*").alias("n"), F.max("doc_id").alias("last_doc"))
     distinct = written(distinct.select("fp", "win", "n", F.col("one.doc_id").alias("first_doc"), "last_doc", "one.pos", "one.runs"), "windows")
     sizes = distinct.groupBy("fp").agg(F.sum(F.col("runs").cast("long") + (min_words - 1)).alias("n_words"))
     total = sizes.agg(F.sum("n_words")).first()[0] or 0
     n_shards = max(1, -(-total // shard_words))
     hot = sizes.where(F.col("n_words") > shard_words).select("fp", F.lit(True).alias("hot"))
     want = distinct.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct("fp", "win", "pos", "runs")).alias("want"))
+    docs = narrowed(docs, distinct.select(F.col("first_doc").alias("doc_id")), "doc_id")
     texts = docs.join(want, "doc_id").select("text", "want").mapInArrow(_fetch(min_words), "fp long, win long, runs int, left_word long, words binary")
     full = texts.drop("runs", "left_word").join(distinct.select("fp", "win", "n", "first_doc", "last_doc", "runs"), ["fp", "win"]).dropDuplicates(["fp", "win"]).join(hot, "fp", "left")
     full = written(full.withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(n_shards))), "window-words")
     cold = full.where("hot IS NULL").groupBy("shard").applyInPandas(_shard(kernel, min_words), ANSWER)
     answer = cold.unionByName(_hot_runs(full.where("hot"), min_words))
-    found = anchors.join(answer, ["fp", "win"]).select("doc_id", (F.col("pos") + F.col("run_from")).alias("s"), (F.col("pos") + F.col("run_to") + min_words).alias("e"), "occurrences")
+    found = kept.join(answer, ["fp", "win"]).select("doc_id", (F.col("pos") + F.col("run_from")).alias("s"), (F.col("pos") + F.col("run_to") + min_words).alias("e"), "occurrences")
     return islands(found)
 
 

@@ -147,16 +147,16 @@ def intervals(window: np.ndarray, run: np.ndarray, occurrences: np.ndarray) -> I
     yield from zip(window[at].tolist(), run[at].tolist(), run[last].tolist(), np.maximum.reduceat(occurrences, at).tolist())
 
 
-def repeats_of_groups(group: np.ndarray, window: np.ndarray, run: np.ndarray, n: np.ndarray, first_doc: np.ndarray, last_doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """group: for sorted runs, the number of the set of equal ones. Those with two documents repeat."""
+def covered_runs(group: np.ndarray, window: np.ndarray, run: np.ndarray, n: np.ndarray, first_doc: np.ndarray, last_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """group: for sorted runs, the number of the set of equal ones. Window, run and occurrences of those with two documents."""
     if not len(group):
-        return
+        return window, run, run
     at = np.flatnonzero(np.append(True, np.diff(group) != 0))
     times = np.add.reduceat(n[window], at)
     two = np.minimum.reduceat(first_doc[window], at) != np.maximum.reduceat(last_doc[window], at)
     size = np.diff(np.append(at, len(group)))
     keep = np.repeat(two, size)
-    yield from intervals(window[keep], run[keep], np.repeat(times, size)[keep])
+    return window[keep], run[keep], np.repeat(times, size)[keep]
 
 
 def kernel(texts: list[np.ndarray], runs: np.ndarray, n: np.ndarray, first_doc: np.ndarray, last_doc: np.ndarray, min_words: int) -> Iterator[tuple[int, int, int, int]]:
@@ -167,7 +167,7 @@ def kernel(texts: list[np.ndarray], runs: np.ndarray, n: np.ndarray, first_doc:
     run = sa - starts[window]
     is_run = run < runs[window]  # a run has min_words words before the separator; no other suffix shares so many with any
     group = np.cumsum(shared < min_words)[is_run]
-    yield from repeats_of_groups(group, window[is_run], run[is_run], n, first_doc, last_doc)
+    yield from intervals(*covered_runs(group, window[is_run], run[is_run], n, first_doc, last_doc))
 
 
 def suffix_array_dedup(docs: DataFrame, min_words: int = 50, text_col: str = "text", id_col: str = "doc_id", shard_words: int = SHARD_WORDS) -> DataFrame:

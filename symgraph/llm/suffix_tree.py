@@ -15,10 +15,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .repeats import SHARD_WORDS, repeated_spans
-from .suffix_array import intervals, shard_text
+from .suffix_array import covered_runs, intervals, shard_text
 
-#: suffixes of a group, and words read of each in a range
-GROUP, RANGE = 50_000, 8
+#: suffixes that a subtree is made of at once, and words read of each in a range
+GROUP, RANGE = 50_000, 6
 
 
 def prefix_groups(s: np.ndarray, suffixes: np.ndarray, deepest: int, most: int = GROUP) -> Iterator[tuple[np.ndarray, int]]:
@@ -30,78 +30,85 @@ def prefix_groups(s: np.ndarray, suffixes: np.ndarray, deepest: int, most: int =
             yield group, depth
             continue
         reach = group + depth
-        inside = reach < len(s)
-        symbol = np.where(inside, s[np.minimum(reach, len(s) - 1)], -1)
+        symbol = np.where(reach < len(s), s[np.minimum(reach, len(s) - 1)], -1)
         order = np.argsort(symbol, kind="stable")
         at = np.flatnonzero(np.append(True, np.diff(symbol[order]) != 0))
-        parts = np.split(group[order], at[1:])
-        single = [p for p in parts if len(p) == 1]
-        yield from ((p, depth + 1) for p in single)
-        todo += [(p, depth + 1) for p in parts if len(p) > 1]
-
-
-def leaves_and_branches(s: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The group's suffixes in order, and for each the words that it shares with the one before it (the first: 0)."""
-    m = len(group)
-    leaves, branch = group.copy(), np.zeros(m, np.int64)
-    if m == 1:
-        return leaves, branch
-    area = np.zeros(m, np.int64)  # suffixes that are alike so far
+        todo += [(p, depth + 1) for p in np.split(group[order], at[1:])[::-1]]
+
+
+def virtual_trees(groups: Iterator[tuple[np.ndarray, int]], most: int = GROUP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Small groups side by side, up to `most` suffixes: suffixes, and the number and prefix length of each one's group."""
+    have: list[tuple[np.ndarray, int]] = []
+    size = 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = [len(g) for g, _ in have]
+        return np.concatenate([g for g, _ in have]), np.repeat(np.arange(len(have)), sizes), np.repeat([d for _, d in have], sizes)
+
+    for group, depth in groups:
+        if have and size + len(group) > most:
+            yield joined()
+            have, size = [], 0
+        have.append((group, depth))
+        size += len(group)
+    if have:
+        yield joined()
+
+
+def leaves_and_branches(s: np.ndarray, suffixes: np.ndarray, group: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order within their groups, and for each the words that it shares with the one before it (0 for a group's first)."""
+    m = len(suffixes)
+    leaves, depth, branch = suffixes.copy(), depth.astype(np.int64), np.zeros(m, np.int64)
+    area = np.searchsorted(group, group)  # suffixes that are alike so far, by the place of the first
+    bits = int(s.max(initial=0) + 2).bit_length()
+    each = max(1, 63 // bits)  # words packed in a number
     active = np.arange(m)
     while len(active):
-        at = leaves[active][:, None] + depth + np.arange(RANGE)
-        block = np.where(at < len(s), s[np.minimum(at, len(s) - 1)], -1)
-        order = np.lexsort((*(block[:, c] for c in range(RANGE - 1, -1, -1)), area[active]))
-        block = block[order]
+        at = leaves[active] + depth[active]
+        words = [np.where(at + c < len(s), s[np.minimum(at + c, len(s) - 1)] + 1, 0) for c in range(RANGE)]
+        keys = []
+        for lo in range(0, RANGE, each):
+            k = np.zeros(len(active), np.int64)
+            for w in words[lo : lo + each]:
+                k = (k << bits) | w
+            keys.append(k)
+        order = np.lexsort((*keys[::-1], area[active]))
         leaves[active] = leaves[active][order]  # areas are contiguous, so places stay within their area
         together = np.append(False, area[active][1:] == area[active][:-1])
-        differs = np.ones((len(active), RANGE), bool)
-        differs[1:] = block[1:] != block[:-1]
-        first = np.where(differs.any(1), differs.argmax(1), RANGE)
+        first = np.full(len(active), RANGE)
+        for c in range(RANGE - 1, -1, -1):
+            w = words[c][order]
+            first[1:][w[1:] != w[:-1]] = c
         parts = together & (first < RANGE)
-        branch[active[parts]] = depth + first[parts]
+        branch[active[parts]] = depth[active[parts]] + first[parts]
         fresh = ~together | parts
         area[active] = active[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        alike = together & ~parts
-        stay = alike.copy()
-        stay[:-1] |= alike[1:]
+        stay = together & ~parts
+        stay[:-1] |= stay[1:]
+        depth[active] += RANGE
         active = active[stay]
-        depth += RANGE
     return leaves, branch
 
 
-def deep_nodes(branch: np.ndarray, min_words: int) -> Iterator[tuple[int, int, int]]:
-    """Internal nodes with at least min_words words, as depth, first and last leaf, from the leaves' branch depths, by a stack."""
-    stack: list[tuple[int, int]] = []  # depth, first leaf
-    for i, d in enumerate([*branch.tolist()[1:], 0]):
-        first = i
-        while stack and stack[-1][0] > d:
-            depth, first = stack.pop()
-            if depth >= min_words:
-                yield depth, first, i
-        if d and (not stack or stack[-1][0] < d):
-            stack.append((d, first))
+def deep_nodes(branch: np.ndarray, min_words: int) -> np.ndarray:
+    """For each leaf the number of the highest internal node of at least min_words words above it, or one of its own.
+
+    A subtree's internal nodes are the stretches of leaves between shallower branches. Those of at least min_words words are nested in
+    the highest one, whose leaves all share min_words words, so nodes below it cover nothing more.
+    """
+    return np.cumsum(branch < min_words)
 
 
 def kernel(texts: list[np.ndarray], runs: np.ndarray, n: np.ndarray, first_doc: np.ndarray, last_doc: np.ndarray, min_words: int) -> Iterator[tuple[int, int, int, int]]:
     s, starts = shard_text(texts)
     size = runs.astype(np.int64)
     begin = np.cumsum(size) - size
-    suffixes = np.repeat(starts, size) + np.arange(size.sum()) - np.repeat(begin, size)
+    suffixes = np.repeat(starts - begin, size) + np.arange(size.sum())
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for group, depth in prefix_groups(s, suffixes, min_words):
-        leaves, branch = leaves_and_branches(s, group, depth)
+    for tree in virtual_trees(prefix_groups(s, suffixes, min_words)):
+        leaves, branch = leaves_and_branches(s, *tree)
         window = np.searchsorted(starts, leaves, side="right") - 1
-        run = leaves - starts[window]
-        # a leaf whose window itself occurs in two documents is a node too: its copies are one row here
-        two = first_doc[window] != last_doc[window]
-        times = np.where(two, n[window], 0)
-        for _, a, b in deep_nodes(branch, min_words):
-            w = window[a : b + 1]
-            if first_doc[w].min() != last_doc[w].max():
-                two[a : b + 1] = True
-                times[a : b + 1] = np.maximum(times[a : b + 1], n[w].sum())
-        found.append((window[two], run[two], times[two]))
+        found.append(covered_runs(deep_nodes(branch, min_words), window, leaves - starts[window], n, first_doc, last_doc))
     if found:
         yield from intervals(*(np.concatenate(x) for x in zip(*found)))
 

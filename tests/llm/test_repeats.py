@@ -88,9 +88,14 @@ def test_tree_groups_hold_every_suffix_once_and_in_order():
     groups = list(T.prefix_groups(s, np.arange(401), 500, most=10))
     assert sorted(np.concatenate([g for g, _ in groups]).tolist()) == list(range(401))
     for g, depth in groups:
-        leaves, branch = T.leaves_and_branches(s, g, depth)
-        assert leaves.tolist() == sorted(g.tolist(), key=lambda i: s[i:].tolist())
-        assert len(g) == 1 or branch[1:].min() >= depth
+        assert len({tuple(s[i : i + depth]) for i in g}) == 1
+    for suffixes, group, depth in T.virtual_trees(iter(groups), most=30):
+        leaves, branch = T.leaves_and_branches(s, suffixes, group, depth)
+        for k in set(group.tolist()):
+            mine = group == k
+            assert leaves[mine].tolist() == sorted(suffixes[mine].tolist(), key=lambda i: s[i:].tolist())
+            for a, b, n in zip(leaves[mine], leaves[mine][1:], branch[mine][1:]):
+                assert s[a : a + n].tolist() == s[b : b + n].tolist() and s[a : a + n + 1].tolist() != s[b : b + n + 1].tolist()
 
 
 def test_a_large_group_is_not_split_below_its_deep_node():
