@@ -29,12 +29,12 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     """path, mtime, text of all C# and XML files below a folder; an error if there is no such folder."""
     if "://" not in root and not os.path.isdir(root):
         raise FileNotFoundError(root)
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).text(root)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("value").alias("text"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(root)
+    return files.select("path", F.col("modificationTime").alias("mtime"), F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "").alias("text"))
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path, mtime without the files' contents."""
+    """path, mtime; the contents aren't read."""
     return scan(spark, root).select("path", "mtime")
 
 

@@ -16,7 +16,7 @@ def watch(spark: SparkSession, root: str, path: str, checkpoint: str, once: bool
     A batch that runs again after a failure replaces the same files' chunks by the same, so each file counts once.
     """
     index = Index(spark, path)
-    source = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files.GLOB).load(root)
+    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", files.GLOB).load(root)
     source = source.select("path", F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("text"))
 
     def upsert(batch: DataFrame, _: int) -> None:
