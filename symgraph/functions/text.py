@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 CAMEL = r"(?<!^)(?=[A-Z][a-z])|(?<=[a-z0-9])(?=[A-Z])"
 #: the usual English stop words of lexical search
 STOP_WORDS = sorted("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
-CLASS_PREFIXES = sorted(["Comp", "Thing", "Building", "Verb", "Graphic", "Hediff", "Job", "Work", "Pawn", "Inc", "Ritual", "Quest", "Stat", "Room", "Place", "Think", "Gen", "AI"])
-CLASS_SUFFIXES = sorted(["Worker", "Driver", "Class", "Handler", "Comp", "Effect"])
+CLASS_PREFIXES = ["AI", "Building", "Comp", "Gen", "Graphic", "Hediff", "Inc", "Job", "Pawn", "Place", "Quest", "Ritual", "Room", "Stat", "Thing", "Think", "Verb", "Work"]
+CLASS_SUFFIXES = ["Class", "Comp", "Driver", "Effect", "Handler", "Worker"]
 #: (prefix, namespace) rules for names without one, first match; then the default
 NAMESPACE_RULES = [("Verb_", "Engine"), ("Graphic_", "Engine"), ("Hediff", "Engine"), ("ThinkNode", "Engine")]
 DEFAULT_NAMESPACE = "Game"

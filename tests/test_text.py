@@ -16,7 +16,7 @@ def one(spark, column, **values):
     [
         ("CompPropertiesTick", ["comppropertiestick", "comp", "properties", "tick"]),
         ("HTTPServer9Foo", ["httpserver9foo", "http", "server9", "foo"]),
-        ("Verse.Pawn, x-y", ["verse.pawn", "verse.", "pawn", "x", "y"]),
+        ("Stage.Pawn, x-y", ["stage.pawn", "stage.", "pawn", "x", "y"]),
         ("   ", []),
     ],
 )
@@ -35,7 +35,7 @@ def test_preview(spark):
     assert one(spark, T.preview(F.col("s")), s=" b\n") == "b"
 
 
-@pytest.mark.parametrize("value,want", [("Building_Door", True), ("true", False), ("3.5", False), ("a b", False), ("Foo", True), ("Ab", False), ("Verse.X", True), ("", False), ("1e5", False), ("_x.y", True)])
+@pytest.mark.parametrize("value,want", [("Building_Door", True), ("true", False), ("3.5", False), ("a b", False), ("Foo", True), ("Ab", False), ("Stage.X", True), ("", False), ("1e5", False), ("_x.y", True)])
 def test_class_names(spark, value, want):
     from symgraph.sources.xml_defs import looks_like_class
 
@@ -68,7 +68,7 @@ def test_jaro_winkler():
     assert S.jaro_winkler_value("MARTHA", "MARHTA", True) == pytest.approx(0.9611, abs=1e-4)
     assert S.jaro_winkler_value("DIXON", "DICKSONX", True) == pytest.approx(0.8133, abs=1e-4)
     assert S.jaro_winkler_value("a", "a") == 1 and S.jaro_winkler_value("a", "b") == 0 and S.jaro_winkler_value("", "b") == 0
-    assert S.jaro_winkler_value("Verse.Pawn", "Verse.PawnRenderer", True) == pytest.approx(0.9111, abs=1e-4)
+    assert S.jaro_winkler_value("Stage.Pawn", "Stage.PawnRenderer", True) == pytest.approx(0.9111, abs=1e-4)
 
 
 def test_edge_kinds(spark):
