@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small
+from .shared import lean, small
 from .textblock import U, Words, blocks, grams, ints, mix, split
 
 BITS = np.arange(64, dtype=U)
@@ -182,6 +182,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     """
     if not 0 <= radius < 64:
         raise ValueError("radius must be from 0 to 63")
+    lean(docs.sparkSession)
     rows = small(benchmark.select(F.col(item_id_col).cast("long"), F.lower(F.col(item_text_col).cast("string"))), max_items, "benchmark")
     items = prepare([tuple(r) for r in rows], shingle_words, radius, threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import local_path, new_path, written
+from .shared import lean, local_path, new_path, written
 from .textblock import U, Words, blocks, ints, mix
 
 PAD, BOS, EOS = U(0), U(1), U(2)
@@ -310,6 +310,7 @@ def train(docs: DataFrame, min_count: int = 2, text_col: str = "text") -> Model:
     if min_count < 1:
         raise ValueError("min_count must be at least 1")
     spark = docs.sparkSession
+    lean(spark)
     docs = docs.select(F.lower(F.col(text_col).cast("string")).alias("text")).where("text IS NOT NULL")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(4, -(-n_bytes // BUCKET_BYTES))

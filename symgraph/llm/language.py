@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .textblock import U, Words, blocks, mix, split
 
 TABLE = 1 << 18
@@ -233,8 +234,12 @@ def _gradient(score: np.ndarray, y: np.ndarray, start: np.ndarray, transitions:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = TRAIN_ROWS, per_language: int = TRAIN_PER_LANGUAGE) -> Crf:
     """Fit on a bounded sample of labelled rows, the first by a hash of their ids and texts; texts are used whole."""
-    rows = docs.select(letters(F.col(text_col)).alias("t"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("h"))
-    rows = rows.where("lang IS NOT NULL AND trim(t) <> ''").orderBy("h", "t", "lang").limit(max_rows).collect()
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(lang_col).cast("string")).alias("h"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # the hashes are sorted first, on their own: a sort with texts would send each task's first max_rows texts to the driver
+    last = [r.h for r in rows.select("h").orderBy("h").limit(max_rows).collect()][-1:]
+    rows = rows.where(F.col("h") <= last[0]).select(letters(F.col("text")).alias("t"), "lang", "h").limit(4 * max_rows).collect() if last else []
+    rows = sorted(rows, key=lambda r: (r.h, r.t, r.lang))[:max_rows]
     count: dict[str, int] = {}
     kept = []
     for r in rows:
@@ -278,6 +283,7 @@ ADDED = "__language string, __share double, __confidence double, __n_words long,
 
 def labelled(rows: DataFrame, crf: Crf, text_col: str = "text") -> DataFrame:
     """The rows with five columns more, whose names begin with two underscores."""
+    lean(rows.sparkSession)
     model = rows.sparkSession.sparkContext.broadcast(crf)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), ADDED])
     return rows.withColumn("__letters", letters(F.col(text_col))).mapInArrow(_label(model), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import narrowed, written
+from .shared import lean, narrowed, written
 from .textblock import U, Words, blocks, grams, ints, mix, signed, spans, split
 
 BANDS, ROWS, BATCH = 36, 4, 16
@@ -170,6 +170,7 @@ def minhash_near_dedup(docs: DataFrame, threshold: float = 0.5, shingle_words: i
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
+    lean(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     sketches = written(docs.mapInArrow(_sketch(shingle_words), "doc_id long, same long, n_bytes long, bands array<long>"), "sketches")
     heads = sketches.groupBy("same").agg(F.min("doc_id").alias("head"))

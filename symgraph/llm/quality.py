@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .textblock import blocks
 
 FEATURES = ("letters", "upper", "digits", "marks", "odd_marks", "stops", "word_length", "long_words", "unique_words", "repeated_next", "repeated_lines", "words", "marked_words", "mark_runs")
@@ -97,6 +98,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.005,
     """
     if not 0 <= quantile <= 1:
         raise ValueError("quantile must be from 0 to 1")
+    lean(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)

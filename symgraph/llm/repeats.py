@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop, narrowed, written
+from .shared import drop, lean, narrowed, written
 from .textblock import U, Words, blocks, grams, ints, signed, sliding, spans
 
 #: words of window text in a shard
@@ -120,6 +120,7 @@ def repeated_spans(docs: DataFrame, kernel: Kernel, min_words: int, text_col: st
     """doc_id, start_word, end_word, n_words, occurrences: the maximal spans of words each of whose words is in a run of min_words words that occurs in another document too."""
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
+    lean(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     anchors = written(docs.mapInArrow(_anchors(min_words), "fp long, win long, doc_id long, pos int, runs int"), "anchors")
     shared = anchors.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("fp")

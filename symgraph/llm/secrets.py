@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .textblock import buffers
 
 LEAST, BEFORE, WITHIN, AFTER = 12, 32, 64, 8
@@ -285,12 +286,14 @@ def secret_scan(docs: DataFrame, recall: float = 0.99, text_col: str = "text", i
     with a null id have a null id; repeated rows have theirs each. Other columns are ignored, whatever their names. An empty
     table gives no rows. Texts and candidates of any length are read whole.
     """
+    lean(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_scan(trained(recall=recall)), "doc_id long, start_char long, end_char long, score double")
 
 
 def redacted(docs: DataFrame, recall: float = 0.99, text_col: str = "text", length_col: str | None = "n_chars", mask: str = MASK) -> DataFrame:
     """The rows of ``docs`` with each secret replaced by ``mask``, and their length put right in ``length_col``; all else is as it was."""
+    lean(docs.sparkSession)
     net = trained(recall=recall)
     name = length_col if length_col in docs.columns else None
 

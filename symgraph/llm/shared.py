@@ -20,6 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: rows of text in an Arrow batch: with whole documents as rows Spark's 10,000 are tens of MB, held several times over outside the heap
+ARROW_ROWS = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of no more than ARROW_ROWS rows from here on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the session's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
