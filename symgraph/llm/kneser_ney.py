@@ -203,7 +203,7 @@ def _write(folder: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
             keys, values = keys[at], np.add.reduceat(values, at)
             classes = [int((values == k).sum()) for k in (1, 2, 3, 4)] + [int(values.sum())]
         name = f"{folder}/{kind}-{file:06d}"
-        for suffix, array in (("keys", keys), ("values", values.astype(np.int64 if values.max(initial=0) > 0xFFFFFFFF else np.uint32))):
+        for suffix, array in (("keys", keys), ("values", values.astype(np.min_scalar_type(values.max(initial=0))))):
             temporary = f"{name}.{uuid.uuid4().hex}"
             with open(temporary, "wb") as out:
                 np.save(out, array)

@@ -35,7 +35,7 @@ def op3_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_count=1)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

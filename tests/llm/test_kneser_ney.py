@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from symgraph.llm import kneser_ney as K
+from symgraph.llm import queries as Q
 
 
 def brute(docs, least):
@@ -75,3 +76,9 @@ def test_many_files(spark, monkeypatch):
     monkeypatch.setattr(K, "FILE_ENTRIES", 10)
     many = {r.doc_id: r.log_prob for r in K.lm_scores(docs, 1).collect()}
     assert one == pytest.approx(many)
+
+
+def test_query_keeps_all_ngrams(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    got = [r.log_prob for r in Q.queries()["op4_lm_scores"](spark, sf).collect() if r.log_prob is not None]
+    assert sorted(got) == pytest.approx(sorted(brute(texts, 1)[0]), rel=1e-9)
