@@ -2,8 +2,9 @@
 
 A window has as many words as the item that it is compared with. Its SimHash (64 signs of the weighted sum of its shingles' hash
 bits) has to be within ``radius`` bits of the item's; a multi-index of radius + 1 blocks of bits finds all such pairs, as two
-fingerprints that differ in at most radius bits are equal in one of the blocks. Pairs are then verified by the weighted Jaccard
-similarity of their multisets of shingles, exactly.
+fingerprints that differ in at most radius bits are equal in one of the blocks. Where blocks are so short that they would propose
+more pairs than there are, all pairs' fingerprints are compared. Pairs are then verified by the weighted Jaccard similarity of their
+multisets of shingles, exactly.
 
 A window of which too little weight is in the items' shingles cannot reach the threshold; such windows are left out before
 they are hashed, without loss (``could_pass``).
@@ -27,6 +28,8 @@ BITS = np.arange(64, dtype=U)
 MAX_ITEMS = 200_000
 #: windows hashed at a time
 CHUNK = 20_000
+#: items whose fingerprints are compared at a time with those windows
+ITEMS_AT_ONCE = 128
 
 
 def shingled(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +59,15 @@ def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarra
     return float(np.minimum(x, y).sum() / total) if total else 0.0
 
 
+def radius_for(threshold: float) -> int:
+    """The bits that windows at the threshold differ in from their item, and three standard deviations more.
+
+    Weighted Jaccard t of multisets of equal weight is a cosine of 2t / (1 + t), and a bit differs with probability angle / pi.
+    """
+    p = np.arccos(np.clip(2 * threshold / (1 + threshold), 0, 1)) / np.pi
+    return min(63, int(np.ceil(64 * p + 3 * np.sqrt(64 * p * (1 - p)))))
+
+
 def block_edges(radius: int) -> list[tuple[int, int]]:
     """radius + 1 blocks of the 64 bits, as even as can be."""
     cut = [64 * i // (radius + 1) for i in range(radius + 2)]
@@ -80,6 +92,13 @@ class Items:
 
     def near(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows and items of n words whose fingerprints differ in at most radius bits: all of them."""
+        if sum(0.5 ** (hi - lo) for lo, hi in block_edges(self.radius)) >= 1:
+            pairs = []
+            for k in range(0, len(self.by_size[n]), ITEMS_AT_ONCE):
+                items = self.by_size[n][k : k + ITEMS_AT_ONCE]
+                w, i = np.nonzero(np.bitwise_count(prints[:, None] ^ self.fingerprints[items]) <= self.radius)
+                pairs.append((w, items[i]))
+            return np.concatenate([w for w, _ in pairs]), np.concatenate([i for _, i in pairs])
         if n not in self.index:
             tables = []
             for lo, hi in block_edges(self.radius):
@@ -135,6 +154,28 @@ def could_pass(total: np.ndarray, shared: np.ndarray, n: int, items: Items) -> n
     return shared >= items.threshold * np.maximum(total, least) - 1e-9
 
 
+def may_match(window: np.ndarray, item: np.ndarray, ranks: np.ndarray, weights: np.ndarray, at: np.ndarray, items: Items) -> np.ndarray:
+    """Pairs that may reach the threshold: of no pair more weight is shared than the window's shingles that the item has too.
+
+    ranks: of each shingle its place among the known ones, their number for others; at: the places of each window's shingles.
+    """
+    out = np.zeros(len(window), bool)
+    mine = np.zeros(len(items.known) + 1, bool)
+    order = np.argsort(item, kind="stable")
+    cut = np.flatnonzero(np.append(True, np.diff(item[order]) != 0)) if len(order) else []
+    for lo, hi in zip(cut, np.append(cut[1:], len(order)).astype(int)):
+        pairs = order[lo:hi]
+        i = item[pairs[0]]
+        own = np.searchsorted(items.known, items.shingles[i])
+        mine[own] = True
+        for k in range(0, len(pairs), CHUNK):
+            part = at[window[pairs[k : k + CHUNK]]]
+            shared = np.minimum((mine[ranks[part]] * weights[part]).sum(1), items.weights[i].sum())
+            out[pairs[k : k + CHUNK]] = shared >= items.threshold * (weights[part].sum(1) + items.weights[i].sum() - shared) - 1e-9
+        mine[own] = False
+    return out
+
+
 def matches(words: Words, items: Items) -> Iterator[tuple[int, int, int, float]]:
     """text, item, first word (in the block), similarity of each window that passes."""
     size = items.size
@@ -145,7 +186,7 @@ def matches(words: Words, items: Items) -> Iterator[tuple[int, int, int, float]]
     hit = member(values, items.known) & inside
     near = np.cumsum(np.append(0, hit * weights))
     every = np.cumsum(np.append(0, weights))
-    hashed = None
+    hashed = ranks = None
     texts = words.texts()
     for n in items.by_size:
         count = n - size + 1
@@ -158,28 +199,33 @@ def matches(words: Words, items: Items) -> Iterator[tuple[int, int, int, float]]
             continue
         if hashed is None:
             hashed = mix(values)
+            ranks = np.full(len(values), len(items.known))
+            ranks[hit] = np.searchsorted(items.known, values[hit])
         for lo in range(0, len(starts), CHUNK):
             part = starts[lo : lo + CHUNK]
             at = part[:, None] + np.arange(count)
             window, item = items.near(n, simhash(hashed[at], weights[at]))
-            for w, i in zip(window.tolist(), item.tolist()):
+            close = may_match(window, item, ranks, weights, at, items)
+            for w, i in zip(window[close].tolist(), item[close].tolist()):
                 s = part[w]
                 j = weighted_jaccard(values[s : s + count], weights[s : s + count], items.shingles[i], items.weights[i])
                 if j >= items.threshold:
                     yield int(texts[s]), i, int(s), j
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, radius: int = 16, shingle_words: int = 2, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id", max_items: int = MAX_ITEMS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, radius: int | None = None, shingle_words: int = 2, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id", max_items: int = MAX_ITEMS) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: for each document and benchmark item the best window (of equal ones the first).
 
     A window of the document with as many words as the item (lower case, split at ASCII blanks) matches if the SimHashes differ in
-    at most ``radius`` bits and the weighted Jaccard similarity of ``shingle_words``-word shingles is at least ``threshold``.
+    at most ``radius`` bits and the weighted Jaccard similarity of ``shingle_words``-word shingles is at least ``threshold``. Without
+    a radius it follows from the threshold (``radius_for``), such that hardly any window that reaches the threshold is missed.
 
     Null ids and null or empty texts match nothing, nor do items or documents with fewer words than a shingle, nor documents
     shorter than the item. Rows with the same id are one document (or item); their best window counts. Other columns are
     ignored, whatever their names. An empty table on either side gives no rows. Texts of any length are read whole. Items are held by
     every task, so more than ``max_items`` are an error.
     """
+    radius = radius_for(threshold) if radius is None else radius
     if not 0 <= radius < 64:
         raise ValueError("radius must be from 0 to 63")
     lean(docs.sparkSession)

@@ -58,6 +58,24 @@ def test_against_all_windows(spark, seed, radius, threshold):
     assert len(got) > 3
 
 
+def test_recall_of_windows_at_the_threshold(spark):
+    r = random.Random(5)
+    rows = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").limit(15).collect()
+    bench = [(x.item_id, x.text) for x in rows]
+    words = [w for _, t in bench for w in t.split()]
+    docs = []
+    for k in range(120):
+        p = bench[k % len(bench)][1].split()
+        for _ in range(r.randint(1, max(1, len(p) // 5))):
+            p[r.randrange(len(p))] = r.choice(words)
+        docs.append((k, " ".join([r.choice(words), *p, r.choice(words)])))
+    want = brute(docs, bench, 0.5, 64, 2)  # all windows, whatever their SimHash
+    got = {(*x[:4], round(x[4], 9)) for x in D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    near = {x[:2] for x in want if x[4] < 0.65}
+    assert len(near) > 30 and len(near & {x[:2] for x in got}) >= 0.95 * len(near)
+    assert len(got & want) >= 0.95 * len(want)
+
+
 def test_blocks_find_all_within_radius():
     r = np.random.default_rng(1)
     for radius in (0, 3, 7, 16, 40):
