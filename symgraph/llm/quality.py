@@ -2,7 +2,7 @@
 
 A document's features are computed by column expressions and one array pass over its words. Of labelled rows (a bounded
 sample) each good one is preferred to each of some bad ones; the weights maximise the logistic likelihood of the differences of
-features. Scores of all documents follow by a dot product, and the threshold is the given quantile of the good rows' scores.
+features. Scores of all documents follow by a dot product, and the threshold is the given quantile of all labelled good rows' scores.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean
+from .shared import lean, written
 from .textblock import blocks
 
 FEATURES = ("letters", "upper", "digits", "marks", "odd_marks", "stops", "word_length", "long_words", "unique_words", "repeated_next", "repeated_lines", "words", "marked_words", "mark_runs")
-#: labelled rows that weights are fitted on at most, pairs made of each good one, and preferred rows for the threshold
+#: labelled rows that weights are fitted on at most, and pairs made of each good one
 TRAIN_ROWS, PAIRS = 20_000, 8
 
 _KIND = np.zeros((5, 256), bool)  # letter, upper, digit, mark, mark other than of sentences
@@ -89,8 +89,9 @@ def bradley_terry(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, seed: i
 def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.005, max_rows: int = TRAIN_ROWS, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", label_id_col: str = "doc_id") -> DataFrame:
     """doc_id, score, keep: one row for each input row; keep where the score is at least the threshold.
 
-    The threshold is the ``quantile`` of the scores of the labelled good rows (label 1) that weights are fitted on: at most ``max_rows``
-    labelled rows, the first by a hash of their ids. An id with several labels counts as good only if all of them are.
+    The threshold is the ``quantile`` of the scores of all labelled good rows (label 1), exactly. Only the weights are fitted on a
+    sample: at most ``max_rows`` labelled rows, the first by a hash of their ids. An id with several labels counts as good only if all
+    of them are.
 
     Null and empty texts, and texts without words, have a null score and aren't kept. Null ids stay null and are scored;
     repeated rows are scored each. Without labelled rows of both kinds all scores are 0 and all texts with words are kept. Other
@@ -108,8 +109,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.005,
     order = np.lexsort((*x.T, y))
     x, y = x[order], y[order]
     w = bradley_terry(x[y == 1], x[y == 0])
-    good = x[y == 1] @ w
-    threshold = float(np.quantile(good, quantile)) - 1e-9 if len(good) and w.any() else -np.inf
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,6 +118,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.005,
                     values = found.column(1).flatten().to_numpy().reshape(-1, len(FEATURES))
                     total[np.flatnonzero(words.counts)] = values @ w
                 none = np.isnan(total)
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(np.round(total, 9), mask=none), pa.array(~none & (total >= threshold))], ["doc_id", "score", "keep"])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(total, mask=none)], ["doc_id", "exact"])
 
-    return rows.mapInArrow(score, "doc_id long, score double, keep boolean")
+    scored = written(rows.mapInArrow(score, "doc_id long, exact double"), "quality-scores")
+    good = scored.join(marked.where("y = 1"), "doc_id").agg(F.percentile("exact", F.lit(quantile))).first()[0]
+    threshold = good - 1e-9 if good is not None and w.any() else float("-inf")
+    return scored.select("doc_id", F.round("exact", 9).alias("score"), F.coalesce(F.col("exact") >= threshold, F.lit(False)).alias("keep"))

@@ -22,6 +22,14 @@ def test_held_out_labels(spark):
     assert np.mean([not r.keep for r in got if r.quality == 0]) > 0.95
 
 
+def test_threshold_is_over_all_good_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    good = quality_scores(docs, labels, 0.1, max_rows=40).join(labels.where("quality = 1"), "doc_id").where("score IS NOT NULL").collect()
+    least = np.quantile([r.score for r in good], 0.1)
+    assert len(good) > 100 and [r.keep for r in good] == [r.score >= least - 2e-9 for r in good]
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "Good words here. And there."), (1, "Good words here. And there."), (2, "!!!! ### bad### bad###"), (3, None), (4, ""), (None, "Some words."), (5, "x " * 100000)], "doc_id long, text string").selectExpr("*", "1 AS score", "0 AS y", "0 AS x")
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (9, None)], "doc_id long, quality int")
