@@ -47,7 +47,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), query_every=50)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
