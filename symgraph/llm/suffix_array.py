@@ -147,19 +147,19 @@ def intervals(window: np.ndarray, run: np.ndarray, occurrences: np.ndarray) -> I
     yield from zip(window[at].tolist(), run[at].tolist(), run[last].tolist(), np.maximum.reduceat(occurrences, at).tolist())
 
 
-def covered_runs(group: np.ndarray, window: np.ndarray, run: np.ndarray, n: np.ndarray, first_doc: np.ndarray, last_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """group: for sorted runs, the number of the set of equal ones. Window, run and occurrences of those with two documents."""
+def covered_runs(group: np.ndarray, window: np.ndarray, run: np.ndarray, n: np.ndarray, first_doc: np.ndarray, last_doc: np.ndarray, within: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """group: for sorted runs, the number of the set of equal ones. Window, run and occurrences of those with two documents, or (within) two places."""
     if not len(group):
         return window, run, run
     at = np.flatnonzero(np.append(True, np.diff(group) != 0))
     times = np.add.reduceat(n[window], at)
-    two = np.minimum.reduceat(first_doc[window], at) != np.maximum.reduceat(last_doc[window], at)
+    two = times > 1 if within else np.minimum.reduceat(first_doc[window], at) != np.maximum.reduceat(last_doc[window], at)
     size = np.diff(np.append(at, len(group)))
     keep = np.repeat(two, size)
     return window[keep], run[keep], np.repeat(times, size)[keep]
 
 
-def kernel(texts: list[np.ndarray], runs: np.ndarray, n: np.ndarray, first_doc: np.ndarray, last_doc: np.ndarray, min_words: int) -> Iterator[tuple[int, int, int, int]]:
+def kernel(texts: list[np.ndarray], runs: np.ndarray, n: np.ndarray, first_doc: np.ndarray, last_doc: np.ndarray, min_words: int, within: bool = False) -> Iterator[tuple[int, int, int, int]]:
     s, starts = shard_text(texts)
     sa = suffix_array(s)
     shared = permuted_common_prefixes(s, sa)[sa]
@@ -167,18 +167,18 @@ def kernel(texts: list[np.ndarray], runs: np.ndarray, n: np.ndarray, first_doc:
     run = sa - starts[window]
     is_run = run < runs[window]  # a run has min_words words before the separator; no other suffix shares so many with any
     group = np.cumsum(shared < min_words)[is_run]
-    yield from intervals(*covered_runs(group, window[is_run], run[is_run], n, first_doc, last_doc))
+    yield from intervals(*covered_runs(group, window[is_run], run[is_run], n, first_doc, last_doc, within))
 
 
-def suffix_array_dedup(docs: DataFrame, min_words: int = 50, text_col: str = "text", id_col: str = "doc_id", shard_words: int = SHARD_WORDS) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, min_words: int = 50, text_col: str = "text", id_col: str = "doc_id", shard_words: int = SHARD_WORDS, within: bool = False) -> DataFrame:
     """Spans of text that repeat across documents: doc_id, start_word, end_word (exclusive), n_words, occurrences.
 
-    A span is maximal: each of its words is in a run of ``min_words`` words (split at ASCII blanks, compared exactly by 64-bit
-    hashes) that some document with another id has too. ``occurrences`` is how often the commonest such run occurs in all.
-    Repeats within one document alone are not reported.
+    A span is maximal: each of its words is in a run of ``min_words`` words (split at ASCII blanks) that some document with another
+    id has too. ``occurrences`` is how often the commonest such run occurs in all. With ``within``, a run that occurs at two
+    places of one document counts as well, and ``occurrences`` is the number of places.
 
     Null ids and null texts give nothing, as do texts with fewer than ``min_words`` words. Rows with the same id are one
-    document, so a repeated row by itself is no repeat. Other columns are ignored, whatever their names. An empty table
-    gives no rows. Texts of any length are read whole.
+    document, whatever their texts: a repeated row by itself is no repeat, and each of several texts is searched. Words are compared by 64-bit
+    hashes. Other columns are ignored, whatever their names. An empty table gives no rows. Texts of any length are read whole.
     """
-    return repeated_spans(docs, kernel, min_words, text_col, id_col, shard_words)
+    return repeated_spans(docs, kernel, min_words, text_col, id_col, shard_words, within)

@@ -99,7 +99,7 @@ def deep_nodes(branch: np.ndarray, min_words: int) -> np.ndarray:
     return np.cumsum(branch < min_words)
 
 
-def kernel(texts: list[np.ndarray], runs: np.ndarray, n: np.ndarray, first_doc: np.ndarray, last_doc: np.ndarray, min_words: int) -> Iterator[tuple[int, int, int, int]]:
+def kernel(texts: list[np.ndarray], runs: np.ndarray, n: np.ndarray, first_doc: np.ndarray, last_doc: np.ndarray, min_words: int, within: bool = False) -> Iterator[tuple[int, int, int, int]]:
     s, starts = shard_text(texts)
     size = runs.astype(np.int64)
     begin = np.cumsum(size) - size
@@ -108,19 +108,20 @@ def kernel(texts: list[np.ndarray], runs: np.ndarray, n: np.ndarray, first_doc:
     for tree in virtual_trees(prefix_groups(s, suffixes, min_words)):
         leaves, branch = leaves_and_branches(s, *tree)
         window = np.searchsorted(starts, leaves, side="right") - 1
-        found.append(covered_runs(deep_nodes(branch, min_words), window, leaves - starts[window], n, first_doc, last_doc))
+        found.append(covered_runs(deep_nodes(branch, min_words), window, leaves - starts[window], n, first_doc, last_doc, within))
     if found:
         yield from intervals(*(np.concatenate(x) for x in zip(*found)))
 
 
-def suffix_tree_dedup(docs: DataFrame, min_words: int = 50, text_col: str = "text", id_col: str = "doc_id", shard_words: int = SHARD_WORDS) -> DataFrame:
+def suffix_tree_dedup(docs: DataFrame, min_words: int = 50, text_col: str = "text", id_col: str = "doc_id", shard_words: int = SHARD_WORDS, within: bool = False) -> DataFrame:
     """Maximal repeats of all documents: doc_id, start_word, end_word (exclusive), n_words, occurrences.
 
     A row is a maximal stretch of a document that internal nodes of at least ``min_words`` words cover, with leaves of two
-    documents under each of them; ``occurrences`` is the most leaves (with copies) under one of them.
+    documents under each of them; ``occurrences`` is the most leaves (with copies) under one of them. With ``within``, two leaves of one
+    document are enough, and copies of a row are one.
 
     Null ids and null texts give nothing, as do texts with fewer than ``min_words`` words. Rows with the same id are one
-    document, so a repeated row by itself is no repeat. Other columns are ignored, whatever their names. An empty table
-    gives no rows. Texts of any length are read whole.
+    document, whatever their texts: a repeated row by itself is no repeat, and each of several texts is searched. Words are compared by 64-bit
+    hashes. Other columns are ignored, whatever their names. An empty table gives no rows. Texts of any length are read whole.
     """
-    return repeated_spans(docs, kernel, min_words, text_col, id_col, shard_words)
+    return repeated_spans(docs, kernel, min_words, text_col, id_col, shard_words, within)

@@ -9,21 +9,21 @@ from symgraph.llm import suffix_array as A
 from symgraph.llm import suffix_tree as T
 
 
-def brute(docs, m):
-    """Spans of runs of m words that are in documents with two ids, straight from the definition."""
+def brute(docs, m, within=False):
+    """Spans of runs of m words that are in documents with two ids (or at two places), straight from the definition."""
     runs = defaultdict(set)
     times = defaultdict(int)
-    words = [(d, re.findall(r"[^\x00-\x20]+", t)) for d, t in docs if d is not None and t is not None]
+    words = [(d, re.findall(r"[^\x00-\x20]+", t)) for d, t in (dict.fromkeys(docs) if within else docs) if d is not None and t is not None]
     for d, w in words:
         for i in range(len(w) - m + 1):
-            runs[tuple(w[i : i + m])].add(d)
+            runs[tuple(w[i : i + m])].add((d, i) if within else d)
             times[tuple(w[i : i + m])] += 1
     out = set()
     for d, w in words:
         spans = []
         for i in range(len(w) - m + 1):
             if len(runs[tuple(w[i : i + m])]) > 1:
-                n = times[tuple(w[i : i + m])]
+                n = len(runs[tuple(w[i : i + m])]) if within else times[tuple(w[i : i + m])]
                 if spans and i <= spans[-1][1]:
                     spans[-1] = [spans[-1][0], i + m, max(n, spans[-1][2])]
                 else:
@@ -66,6 +66,41 @@ def test_hot_anchors_and_empty(spark, op):
     assert op(df.where("doc_id = 3").union(df.where("doc_id = 3")), min_words=2).collect() == []
 
 
+OPS = [A.suffix_array_dedup, T.suffix_tree_dedup]
+
+
+@pytest.mark.parametrize("op", OPS)
+def test_repeats_within_a_document(spark, op):
+    for seed in (0, 1):
+        docs = corpus(seed)
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        assert {tuple(r) for r in op(df, min_words=8, within=True).collect()} == brute(docs, 8, within=True)
+        assert {tuple(r) for r in op(df, min_words=8, within=True, shard_words=20).collect()} == brute(docs, 8, within=True)
+
+
+@pytest.mark.parametrize("op", OPS)
+def test_an_id_with_two_texts(spark, op):
+    r = random.Random(5)
+    word = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = word(50)
+    docs = [(1, " ".join(word(150))), (1, " ".join(word(30) + passage + word(30))), (2, " ".join(word(70) + passage + word(10)))]
+    want = {(1, 30, 80, 50, 2), (2, 70, 120, 50, 2)}
+    assert brute(docs, 50) == want
+    for rows in (docs, docs[::-1], [docs[1], docs[0], docs[2]]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert {tuple(x) for x in op(df).collect()} == want
+
+
+@pytest.mark.parametrize("op", OPS)
+def test_very_long_texts(spark, op):
+    r = random.Random(6)
+    passage = [f"p{i}" for i in range(60)]
+    long = [f"w{r.randrange(10**6)}" for _ in range(400_000)]
+    docs = [(1, " ".join(long + passage)), (2, "x" * 3_000_000 + " " + " ".join(passage)), (3, "y" * 3_000_000)]
+    got = {tuple(x) for x in op(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(1, 400_000, 400_060, 60, 2), (2, 1, 61, 60, 2)}
+
+
 def test_suffix_array_and_prefixes():
     r = np.random.default_rng(1)
     for alphabet in (1, 2, 3, 50):
