@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import lean, written
-from .textblock import blocks
+from .textblock import blocks, spans
 
 FEATURES = ("letters", "upper", "digits", "marks", "odd_marks", "stops", "word_length", "long_words", "unique_words", "repeated_next", "repeated_lines", "words", "marked_words", "mark_runs")
 #: labelled rows that weights are fitted on at most, and pairs made of each good one
@@ -45,16 +45,16 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = np.append(words.data, 0)
         stop = np.isin(data[words.ends - 1], np.frombuffer(b".?!", np.uint8))
         run = np.append(0, np.cumsum(_KIND[3][data[:-1]] & (data[:-1] == data[1:])))
-        runs = run[words.ends] - run[words.starts]
+        runs = run[words.ends - 1] - run[words.starts]  # pairs within the word
         text = words.texts()
         again = np.append(False, (words.hashes[1:] == words.hashes[:-1]) & (text[1:] == text[:-1]))
         order = np.lexsort((words.hashes, text))
         new = np.append(True, (words.hashes[order][1:] != words.hashes[order][:-1]) | (text[order][1:] != text[order][:-1]))
         unique = np.bincount(text[order][new], minlength=len(n))[some]
-        # a line's first two words as its stand-in
-        opens = np.append(True, (text[1:] != text[:-1]) | (data[words.starts[1:] - 1] == 10))
-        lead = np.flatnonzero(opens)
-        line = words.hashes[lead] * np.uint64(31) + words.hashes[np.minimum(lead + 1, len(words.hashes) - 1)]
+        # lines with words, each by the hash of all of them
+        breaks = np.append(0, np.cumsum(words.data == 10))
+        lead = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (breaks[words.starts[1:]] > breaks[words.ends[:-1]])))
+        line = spans(words.hashes, lead, np.append(lead[1:], len(words.hashes)))
         order = np.lexsort((line, text[lead]))
         same = np.append(False, (line[order][1:] == line[order][:-1]) & (text[lead][order][1:] == text[lead][order][:-1]))
         lines = np.bincount(text[lead], minlength=len(n))[some]
@@ -116,7 +116,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.005,
                 total = np.full(part.num_rows, np.nan)
                 for found in features(iter([part])):
                     values = found.column(1).flatten().to_numpy().reshape(-1, len(FEATURES))
-                    total[np.flatnonzero(words.counts)] = values @ w
+                    total[np.flatnonzero(words.counts)] = (values * w).sum(1)  # the same in any block, unlike a matrix product
                 none = np.isnan(total)
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(total, mask=none)], ["doc_id", "exact"])
 
