@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, lean, small
+from .shared import lean, small, without
 from .textblock import U, Words, blocks, grams, ints, mix, split
 
 #: bits of a fingerprint, of which a block's key has at most KEY_BITS
@@ -318,6 +318,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     Rows without an id stay, as do null and empty texts. If one of several rows with an id matches, all of them go. Repeated rows
     stay repeated. Other columns may have any names. An empty table gives none; an empty benchmark keeps all.
     """
-    name = free_name(docs, "contaminated")
-    bad = contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
+    return without(docs, contamination(docs, benchmark, id_col=id_col, **options).select("doc_id"), id_col)

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .shared import lean
+from .shared import free_name, lean
 from .textblock import U, Words, blocks, mix, split
 
 TABLE = 1 << 18
@@ -233,27 +234,38 @@ def _gradient(score: np.ndarray, y: np.ndarray, start: np.ndarray, transitions:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = TRAIN_ROWS, per_language: int = TRAIN_PER_LANGUAGE) -> Crf:
-    """Fit on a bounded sample of labelled rows, the first by a hash of their ids and texts; texts are used whole."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(lang_col).cast("string")).alias("h"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # the hashes are sorted first, on their own: a sort with texts would send each task's first max_rows texts to the driver
-    last = [r.h for r in rows.select("h").orderBy("h").limit(max_rows).collect()][-1:]
-    rows = rows.where(F.col("h") <= last[0]).select(letters(F.col("text")).alias("t"), "lang", "h").limit(4 * max_rows).collect() if last else []
-    rows = sorted(rows, key=lambda r: (r.h, r.t, r.lang))[:max_rows]
-    count: dict[str, int] = {}
-    kept = []
-    for r in rows:
-        count[r.lang] = count.get(r.lang, 0) + 1
-        if count[r.lang] <= per_language:
-            kept.append((r.t, r.lang))
-    return fit(kept)
-
-
-def _label(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Fit on a bounded sample of labelled rows; texts are used whole.
+
+    Each language has as many rows as the others: the ``per_language`` with the least hashes of id and text, or ``max_rows`` / languages
+    if that is fewer. With more languages than ``max_rows``, the commonest are learned. Repeated rows count once; null languages and texts
+    without letters aren't labelled rows.
+    """
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)).alias("h"))
+    known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("different")).orderBy(F.desc("n"), "lang").limit(max_rows).collect()
+    if not known:
+        return fit([])
+    each = min(per_language, max(1, max_rows // len(known)))
+    # a bound on the hash leaves about twice the rows wanted of a language, and all of a rare one
+    bound = rows.sparkSession.createDataFrame([(r.lang, 1 << 40 if r.different <= 4 * each else int((1 << 40) * 2 * each / r.different)) for r in known], "lang string, bound long")
+    few = rows.join(F.broadcast(bound), "lang").where("h < bound")  # a row for each of at most max_rows languages
+    hashes: dict[str, list[int]] = {}
+    for r in few.select("lang", "h").distinct().collect():
+        hashes.setdefault(r.lang, []).append(r.h)
+    chosen = rows.sparkSession.createDataFrame([(lang, h) for lang, v in hashes.items() for h in sorted(v)[:each]], "lang string, h long")
+    sample = few.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", letters(F.col("text")).alias("t")).dropDuplicates(["lang", "h"]).collect()  # at most max_rows
+    return fit([(r.t, r.lang) for r in sorted(sample, key=lambda r: (r.h, r.lang))])
+
+
+#: what ``labelled`` adds to each row
+ADDED = StructType([StructField("language", StringType()), StructField("share", DoubleType()), StructField("confidence", DoubleType()), StructField("n_words", LongType()), StructField("n_switches", LongType())])
+
+
+def _label(model, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf: Crf = model.value
         m = len(crf.languages)
-        for batch, words in blocks(batches, "__letters", 1 << 20):
+        for batch, words in blocks(batches, name, 1 << 20):
             n = words.counts
             mass, label, switches = np.zeros((len(n), m)), np.zeros(len(words.hashes), np.int64), np.zeros(len(n), np.int64)
             votes = np.zeros((len(n), m))
@@ -272,46 +284,48 @@ def _label(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
             share = votes[at, top] / divisor if m else np.zeros(len(n))
             sure = mass[at, top] / divisor if m else np.zeros(len(n))
             names = pa.array(crf.languages, pa.string()).take(pa.array(np.where(none, None, top).tolist(), pa.int64())) if m else pa.nulls(len(n), pa.string())
-            kept = [c for c in batch.schema.names if c != "__letters"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), names, pa.array(share, mask=none), pa.array(sure, mask=none), pa.array(n.astype(np.int64)), pa.array(switches.astype(np.int64))], [*kept, "__language", "__share", "__confidence", "__n_words", "__n_switches"])
+            i = batch.schema.get_field_index(name)
+            added = pa.StructArray.from_arrays([names, pa.array(share, mask=none), pa.array(sure, mask=none), pa.array(n.astype(np.int64)), pa.array(switches.astype(np.int64))], ADDED.names)
+            yield batch.set_column(i, pa.field(name, added.type), added)
 
     return run
 
 
-ADDED = "__language string, __share double, __confidence double, __n_words long, __n_switches long"
-
-
-def labelled(rows: DataFrame, crf: Crf, text_col: str = "text") -> DataFrame:
-    """The rows with five columns more, whose names begin with two underscores."""
+def labelled(rows: DataFrame, crf: Crf, name: str, text_col: str = "text") -> DataFrame:
+    """The rows with a column more, ``name``, of which they have none: a struct as in ADDED."""
     lean(rows.sparkSession)
     model = rows.sparkSession.sparkContext.broadcast(crf)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), ADDED])
-    return rows.withColumn("__letters", letters(F.col(text_col))).mapInArrow(_label(model), schema)
+    schema = StructType([*rows.schema.fields, StructField(name, ADDED)])
+    return rows.withColumn(name, letters(F.col(f"`{text_col}`"))).mapInArrow(_label(model, name), schema)
 
 
-def accepted(min_share: float) -> Column:
-    return (F.col("__n_words") > 0) & (F.coalesce(F.col("__share"), F.lit(0.0)) >= min_share)
+def accepted(of: Column, min_share: float) -> Column:
+    return (of["n_words"] > 0) & (F.coalesce(of["share"], F.lit(0.0)) >= min_share)
 
 
-def identify_language(docs: DataFrame, min_share: float = 0.4, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", crf: Crf | None = None) -> DataFrame:
+def identify_language(docs: DataFrame, min_share: float = 0.4, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", crf: Crf | None = None, max_rows: int = TRAIN_ROWS, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
     """doc_id, language, share, confidence, n_words, n_switches, accepted: one row for each input row.
 
     ``language`` has the greatest sum of posteriors over the text's words (of equal ones the first by name), ``share`` the part of
     the words that are labelled with it, ``confidence`` the mean posterior, ``n_switches`` how often the label changes. A
-    document is accepted if ``share`` is at least ``min_share``. The model is fitted on ``lang_col`` (see ``train``) unless given.
+    document is accepted if ``share`` is at least ``min_share``. The model is fitted on ``lang_col`` (see ``train`` for the bounds ``max_rows`` and
+    ``per_language``) unless given.
 
     Null and empty texts, and texts without letters, have no language, null share and confidence, and aren't accepted; with
     no labelled row at all that holds for every text. Null ids stay null, repeated rows are labelled each. Other columns are
     ignored, whatever their names. An empty table gives no rows. Texts of any length are read whole.
     """
-    crf = crf or train(docs, text_col, lang_col, id_col)
+    crf = crf or train(docs, text_col, lang_col, id_col, max_rows, per_language)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("doc_id", "text")
-    out = labelled(rows, crf)
-    return out.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("language", "share", "confidence", "n_words", "n_switches")), accepted(min_share).alias("accepted"))
+    return labelled(rows, crf, "of").select("doc_id", "of.*", accepted(F.col("of"), min_share).alias("accepted"))
+
 
+def in_a_language(docs: DataFrame, min_share: float = 0.4, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = TRAIN_ROWS, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
+    """The rows of ``docs`` whose language is accepted (see identify_language), with their columns as they are.
 
-def in_a_language(docs: DataFrame, min_share: float = 0.4, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose language is accepted, with their columns as they are."""
-    out = labelled(docs, train(docs, text_col, lang_col, id_col), text_col)
-    return out.where(accepted(min_share)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    Null and empty texts, and texts without letters, go; rows without an id are judged by their texts; repeated rows stay repeated. Other columns
+    may have any names and types. An empty table gives none, as does one without a labelled row.
+    """
+    name = free_name(docs, "language_of")
+    out = labelled(docs, train(docs, text_col, lang_col, id_col, max_rows, per_language), name, text_col)
+    return out.where(accepted(F.col(name), min_share)).drop(name)

@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .shared import lean
 from .textblock import buffers
@@ -292,10 +293,15 @@ def secret_scan(docs: DataFrame, recall: float = 0.99, text_col: str = "text", i
 
 
 def redacted(docs: DataFrame, recall: float = 0.99, text_col: str = "text", length_col: str | None = "n_chars", mask: str = MASK) -> DataFrame:
-    """The rows of ``docs`` with each secret replaced by ``mask``, and their length put right in ``length_col``; all else is as it was."""
+    """The rows of ``docs`` with each secret (see secret_scan) replaced by ``mask``, and their length put right in ``length_col``; all else is as it was.
+
+    Null and empty texts, rows without an id and repeated rows stay as they are, with their secrets masked. The length is put right
+    where the text changes, if ``length_col`` is an integer column; of another type it stays. Other columns may have any names and types. An empty table
+    gives none. Texts of any length are read whole.
+    """
     lean(docs.sparkSession)
     net = trained(recall=recall)
-    name = length_col if length_col in docs.columns else None
+    name = length_col if length_col in docs.columns and isinstance(docs.schema[length_col].dataType, IntegralType) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, text_col):

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine), one of our own."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine), one of our own. A cluster has to name one."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all hosts share")
         folder = "file://" + tempfile.mkdtemp(prefix="symgraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -82,6 +84,29 @@ def narrowed(docs: DataFrame, ids: DataFrame, column: str, limit: int = BROADCAS
     return docs.join(F.broadcast(wanted), column, "left_semi")
 
 
+def without(docs: DataFrame, ids: DataFrame, column: str, limit: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``docs`` whose ``column`` (cast to long) isn't among the first column of ``ids``. Few enough ids are broadcast, so texts aren't shuffled; rows without an id never are."""
+    name = free_name(docs, "unwanted")
+    ids = written(ids.select(F.col(ids.columns[0]).alias(name)).distinct(), "unwanted-ids")
+    own = F.col(f"`{column}`").cast("long")
+    if ids.count() <= limit:
+        return docs.join(F.broadcast(ids), own == F.col(name), "left_anti")
+    return docs.where(own.isNull()).union(docs.where(own.isNotNull()).join(ids, own == F.col(name), "left_anti"))
+
+
+def without_repeats(docs: DataFrame, column: str) -> DataFrame:
+    """Rows that are equal in every column are one. Only rows whose id is there several times, or null, are shuffled to compare them."""
+    own, name = F.col(f"`{column}`").cast("long"), free_name(docs, "repeated")
+    repeated = written(docs.where(own.isNotNull()).groupBy(own.alias(name)).count().where("count > 1").select(name), "repeated-ids")
+    few = repeated.count() <= BROADCAST_IDS
+    ids = F.broadcast(repeated) if few else repeated
+    some = docs.where(own.isNull()).union(docs.join(ids, own == F.col(name), "left_semi"))
+    odd = [c for c, t in docs.dtypes if "map<" in t or "variant" in t]  # these can't be compared as they are
+    keys = {free_name(docs, f"key_of_{i}"): F.to_json(F.struct(F.col(f"`{c}`"))) for i, c in enumerate(odd)}
+    some = some.withColumns(keys).dropDuplicates([*(c for c in docs.columns if c not in odd), *keys]).drop(*keys)
+    return docs.where(own.isNotNull()).join(ids, own == F.col(name), "left_anti").union(some)
+
+
 def local_path(path: str) -> str:
     """The path by which a worker opens or memory-maps a file of the shared folder; it has to be mounted on every host."""
     if path.startswith("file:"):

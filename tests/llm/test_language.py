@@ -77,3 +77,16 @@ def test_edges(spark, crf):
     assert not any(r.accepted for r in L.identify_language(docs.selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang")).collect())
     kept = L.in_a_language(docs)
     assert kept.columns == docs.columns and kept.schema == docs.schema and kept.count() == 4
+
+
+def test_a_rare_language_and_repeated_rows_in_the_training_sample(spark):
+    """A language of few rows is learned beside one with most of them, half of which are one row again and again."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars BETWEEN 200 AND 900")
+    de, en = docs.where("lang = 'de'").orderBy("doc_id"), docs.where("lang = 'en'").orderBy("doc_id")
+    rows = de.limit(4).union(en.limit(150)).union(en.limit(1).join(spark.range(200)).drop("id"))
+    for a, b in ((rows, rows.repartition(7)), (rows.withColumn("doc_id", L.F.lit(None)), rows.withColumn("doc_id", L.F.lit(None)).coalesce(1))):
+        one, two = L.train(a, max_rows=40, per_language=20), L.train(b, max_rows=40, per_language=20)
+        assert one.languages == two.languages == ["de", "en"] and (one.weights == two.weights).all()
+    held = de.join(de.limit(4), "doc_id", "left_anti").limit(20)
+    assert [r.language for r in L.identify_language(held, crf=one).collect()].count("de") >= 17
+    assert len(L.train(rows, max_rows=1).languages) == 1
