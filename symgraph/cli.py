@@ -20,11 +20,11 @@ def parser() -> argparse.ArgumentParser:
     add = lambda name, *args: [c := sub.add_parser(name), c.add_argument("--index", default="index"), *(c.add_argument(n, **k) for n, k in args)][0]
     number = lambda default: {"type": int, "default": default}
     add("index", ("--root", {"required": True}), ("--force", {"nargs": "?", "const": "all"}), ("--no-incremental", {"action": "store_true"}), ("--embedding-server", {}), ("--api-url", {}), ("--api-key", {}), ("--model-name", {"default": ""}), ("--resolve", {"choices": ["exact", "suffix"], "default": "exact"}))
-    add("rough-search", ("query", {}), ("--kind", {}), ("--max-results", number(schema.MAX_RESULTS)))
+    add("rough-search", ("query", {}), ("--kind", {}), ("--max-results", number(schema.MAX_RESULTS)), ("--lexical-k", number(schema.LEXICAL_K)), ("--semantic-k", number(0)), ("--api-key", {}))
     for verb in ("get-uses", "get-used-by"):
         add(verb, ("symbol", {}), ("--kind", {}), ("--page", number(1)), ("--max-results", number(schema.PAGE_SIZE)))
     add("get-item", ("symbol", {}), ("--max-lines", number(0)))
-    add("serve")
+    add("serve", ("--api-key", {}))
     return p
 
 
@@ -46,12 +46,13 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> str
     path = a.index if "://" in a.index else os.path.abspath(a.index)
     if a.verb == "index":
         api = (a.api_url, a.api_key, a.model_name) if a.api_url and a.api_key else None
-        return printed("index", build(spark, a.root, path, not a.no_incremental, a.force, vectors.choose(api, a.embedding_server, vectors.HashEmbedder), a.resolve))
-    tools = Tools(Index(spark, path))
+        made_by = ("api", a.api_url, a.model_name) if api else ("server", a.embedding_server, "") if a.embedding_server else ("hash", "", "")
+        return printed("index", build(spark, a.root, path, not a.no_incremental, a.force, vectors.choose(api, a.embedding_server, vectors.HashEmbedder), made_by, a.resolve))
+    tools = Tools(Index(spark, path), api_key=getattr(a, "api_key", None))
     if a.verb == "serve":
         Server(tools).serve()
         return ""
-    names = {"query": "query", "symbol": "symbol", "kind": "kind", "page": "page", "max_results": "max_results", "max_lines": "max_lines"}
+    names = {"query": "query", "symbol": "symbol", "kind": "kind", "page": "page", "max_results": "max_results", "max_lines": "max_lines", "lexical_k": "lexical_k", "semantic_k": "semantic_k"}
     arguments = {n: getattr(a, k) for n, k in names.items() if getattr(a, k, None) is not None}
     return printed(a.verb, tools.by_name[a.verb.replace("-", "_")].run(arguments))
 

@@ -37,7 +37,9 @@ def jaro(a: str, b: str) -> tuple[float, int]:
         return (1.0, len(a))
     if not a or not b:
         return (0.0, 0)
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
+    if len(a) > len(b):  # the shorter one looks for its characters in the longer one
+        a, b = b, a
+    reach = max(0, len(b) // 2 - 1)
     used = [False] * len(b)
     ma = []
     for i, c in enumerate(a):
@@ -50,7 +52,7 @@ def jaro(a: str, b: str) -> tuple[float, int]:
     if not m:
         return (0.0, 0)
     mb = [c for j, c in enumerate(b) if used[j]]
-    t = sum(x != y for x, y in zip(ma, mb)) / 2
+    t = sum(x != y for x, y in zip(ma, mb)) // 2  # whole transpositions
     prefix = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     return ((m / len(a) + m / len(b) + (m - t) / m) / 3, prefix)
 

@@ -61,6 +61,12 @@ def union(*edges: DataFrame) -> DataFrame:
     return out.groupBy("src", "dst", "kind").agg(F.sum("n").alias("n"))
 
 
+def bound(refs: DataFrame, types: DataFrame, id_col: str = "id") -> DataFrame:
+    """Edges from definitions to the types whose id they name, counted."""
+    known = types.select(F.col(id_col).alias("dst")).distinct()
+    return grouped(refs).join(known, F.col("ref_name") == F.col("dst")).select("src", "dst", "kind", "n")
+
+
 def reverse_bindings(edges: DataFrame, kinds: tuple[str, ...] = ("XmlBindsClass", "XmlUsesComp"), kind: str = "CSharpUsedByDef") -> DataFrame:
     """For each binding an edge the other way."""
     return edges.where(F.col("kind").isin(*kinds)).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(kind).alias("kind"), "n")
@@ -91,16 +97,22 @@ def classified_bases(edges: DataFrame, interfaces: DataFrame, id_col: str = "id"
 def node_index(symbols: DataFrame, id_col: str = "id", order: tuple[str, ...] = ()) -> DataFrame:
     """node_id (0, 1, ...), id: each different id once, in order of the id (or of the least of the order's columns first).
 
-    Ids are numbered within groups of a common beginning, after those of the groups before, so that no task sorts them all.
+    Ids are sorted into ranges, each range is numbered where it lies, and the sizes of the ranges before are added: one
+    shuffle, however alike the ids' beginnings are. The sorted rows are cut off from their lineage, as the ranges of another run could differ.
     """
-    if order:
-        ids = symbols.groupBy(F.col(id_col).alias("id")).agg(*(F.min(c).alias(c) for c in order))
-        return ids.select((F.row_number().over(Window.orderBy(*order, "id")) - 1).alias("node_id"), "id")
-    ids = symbols.select(F.col(id_col).alias("id")).distinct().withColumn("__p", F.substring("id", 1, 8))
-    sizes = ids.groupBy("__p").agg(F.count("*").alias("k"))
-    before = sizes.withColumn("first", F.sum("k").over(Window.orderBy("__p")) - F.col("k")).drop("k")
-    numbered = ids.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy("id")) - 1)
-    return numbered.join(before, "__p").select((F.col("first") + F.col("__i")).alias("node_id"), "id")
+    from .pagerank import cut
+
+    ids = symbols.groupBy(F.col(id_col).alias("id")).agg(*(F.min(c).alias(f"__{c}") for c in order)) if order else symbols.select(F.col(id_col).alias("id")).distinct()
+    by = [*(f"__{c}" for c in order), "id"]
+    ranges = cut(ids.repartitionByRange(*by).sortWithinPartitions(*by).select("id", F.monotonically_increasing_id().alias("__i")))
+    place = F.shiftright("__i", 33).alias("__p")  # the range, and below it the place in it
+    sizes = {r["__p"]: r.k for r in ranges.groupBy(place).agg(F.count("*").alias("k")).collect()}  # a row for each range
+    before, first = 0, []
+    for p in sorted(sizes):
+        first += [F.lit(p), F.lit(before)]
+        before += sizes[p]
+    start = F.element_at(F.create_map(*first), F.shiftright("__i", 33)) if first else F.lit(0)
+    return ranges.select((start + F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("node_id"), "id")
 
 
 def degrees(edges: DataFrame, column: str, name: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Inverted index tables and ranked lexical search.
 
-postings(field, term, doc_id, tf), doc_stats(field, doc_id, dl), term_stats(field, term, df). A query touches only its own terms' postings (a pushed
-``term IN (...)``), and statistics of the terms come from the same scan, so a search is one shuffle by document and a top-k.
+postings(field, term, doc_id, tf), doc_stats(field, doc_id, dl), term_stats(field, term, df), field_stats(field, n_docs, avgdl). A stored
+index has the length and language of the document in each posting, so a search reads its own terms' postings (a pushed ``term IN (...)`` on files sorted by
+term) and a row of statistics for each of its terms and fields, and is one shuffle by document and a top-k.
 """
 
 from __future__ import annotations
@@ -23,6 +24,20 @@ def postings(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFra
     return words.groupBy("field", "term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
 
 
+def index_postings(docs: DataFrame, id_col: str, fields: dict[str, Column], lang_col: str = "lang") -> DataFrame:
+    """Postings as they are stored: with dl, the number of words of the field, and the document's lang."""
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("field"), F.coalesce(words, F.array().cast("array<string>")).alias("words")) for name, words in fields.items())))
+    words = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), each.alias("f")).select("f.field", F.explode("f.words").alias("term"), "doc_id", F.size("f.words").alias("dl"), "lang")
+    return words.groupBy("field", "term", "doc_id", "dl", "lang").agg(F.count("*").cast("int").alias("tf"))
+
+
+def field_stats(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """field, n_docs (all documents), avgdl (of those with a word): a row for each field."""
+    sizes = [F.struct(F.lit(name).alias("field"), F.size(words).alias("dl")) for name, words in fields.items()]
+    rows = docs.select(F.explode(F.array(*sizes)).alias("f")).select("f.*")
+    return rows.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
+
+
 def doc_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("field", "doc_id").agg(F.sum("tf").alias("dl"))
 
@@ -70,15 +85,15 @@ def score(hits: DataFrame, df: DataFrame, stats: DataFrame, similarity: str, n_c
     return x.groupBy("doc_id").agg((F.sum(value) * F.count("*") / n_clauses).alias("score"))
 
 
-def scores_from_index(posted: DataFrame, lengths: DataFrame, query: str, boosts: dict[str, float], similarity: str = "bm25") -> DataFrame:
-    """The same from stored tables: the postings' scan is filtered by term, lengths are joined for matching documents only."""
-    terms = query_terms(query)
-    fields = sorted(boosts)
-    hits = posted.where(F.col("term").isin(terms) & F.col("field").isin(fields))
-    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
-    stats = lengths.where(F.col("field").isin(fields)).groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+def scores_from_index(posted: DataFrame, terms_table: DataFrame, fields_table: DataFrame, query: str, boosts: dict[str, float], similarity: str = "bm25") -> DataFrame:
+    """The same from stored tables: index_postings, term_stats and field_stats. Further conditions on the postings (a language) leave the statistics as they are."""
+    if similarity not in ("bm25", "classic"):
+        raise ValueError("similarity must be bm25 or classic")
+    terms, fields = query_terms(query), sorted(boosts)
+    asked = F.col("term").isin(terms) & F.col("field").isin(fields)
     boost = F.element_at(F.create_map(*[F.lit(x) for k, v in boosts.items() for x in (k, float(v))]), F.col("field"))
-    return score(hits.join(lengths, ["field", "doc_id"]).withColumn("boost", boost), df, stats, similarity, len(terms) * len(fields))
+    hits = posted.where(asked).select("doc_id", "field", boost.alias("boost"), "dl", "term", "tf")
+    return score(hits, terms_table.where(asked), fields_table.where(F.col("field").isin(fields)), similarity, len(terms) * len(fields))
 
 
 def top_k(scored: DataFrame, k: int, id_col: str = "doc_id", score_col: str = "score") -> DataFrame:

@@ -56,19 +56,33 @@ def query(edges: DataFrame, ranks: DataFrame, symbol: str, direction: str = "use
     return out.join(nodes.select("id", "node_id"), "id", "left").orderBy(F.desc("score"), "id", "kind") if nodes is not None else out
 
 
+#: ids of a level that are broadcast to the edges at most; a larger level is joined by a shuffle
+FRONTIER = 100_000
+
+
 def n_hop(edges: DataFrame, symbol: str, direction: str, depth: int) -> DataFrame:
-    """id, kind, distance of all within depth steps; the least distance, and of its kinds the first by name."""
+    """id, kind, distance of all within depth steps; the least distance, and of its kinds the first by name.
+
+    Each level is cut off from the one before, and few enough ids are broadcast to the edges, which are then filtered where they lie.
+    """
+    from .pagerank import cut
+
     if depth < 1:
         raise ValueError("depth must be positive")
     a, b = ("src", "dst") if direction == "uses" else ("dst", "src")
     steps = edges.where(F.col("kind") != "CSharpUsedByDef") if direction == "uses" else edges
-    steps = steps.select(F.col(a).alias("from"), F.col(b).alias("id"), "kind").distinct()
-    found = new = steps.where(F.col("from") == symbol).where(F.col("id") != symbol).groupBy("id").agg(F.min("kind").alias("kind")).withColumn("distance", F.lit(1))
+    steps = steps.select(F.col(a).alias("from"), F.col(b).alias("id"), "kind").where(F.col("id") != symbol)
+    found = new = steps.where(F.col("from") == symbol).groupBy("id").agg(F.min("kind").alias("kind")).withColumn("distance", F.lit(1))
     for d in range(2, depth + 1):
+        new = cut(new)
+        found = new if d == 2 else cut(found.unionByName(new))
+        n = new.count()
+        if not n:
+            return found
         near = new.select(F.col("id").alias("from"))
-        new = steps.join(near, "from").where(F.col("id") != symbol).groupBy("id").agg(F.min("kind").alias("kind")).join(found.select("id"), "id", "left_anti").withColumn("distance", F.lit(d))
-        found = found.unionByName(new)
-    return found
+        near = F.broadcast(near) if n <= FRONTIER else near
+        new = steps.join(near, "from").groupBy("id").agg(F.min("kind").alias("kind")).join(found.select("id"), "id", "left_anti").withColumn("distance", F.lit(d))
+    return found.unionByName(new) if depth > 1 else found
 
 
 def fuzzy_rank(nodes: DataFrame, text: str, capped: bool = False, id_col: str = "id") -> DataFrame:

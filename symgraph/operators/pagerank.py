@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 20, 1e-6
+#: rounds after which the lineage is cut by a checkpoint
+CUT = 5
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir, which all executors share; where that is unset (tests on one machine), one of our own."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all hosts share")
+        folder = "file://" + tempfile.mkdtemp(prefix="symgraph-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Lineage cut by a checkpoint in the folder that all executors share (spark.checkpoint.dir); one of our own where that is unset."""
+    """Lineage cut by a checkpoint in the folder that all executors share."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="symgraph-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 
@@ -33,13 +48,22 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, itera
     dangling = ids.join(out.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("dangling"))
     ranks = cut(ids.join(dangling, "id", "left").select("id", F.coalesce("dangling", F.lit(False)).alias("dangling"), F.lit(1.0 / n).alias("score")))
     lost = ranks.where("dangling").count() / n
-    for _ in range(iterations):
+    held: list[DataFrame] = []
+    for i in range(1, iterations + 1):
         gathered = shares.join(ranks, shares["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         base = (1 - damping) / n + damping * lost / n
         new = ranks.join(gathered, ranks["id"] == gathered["dst"], "left")
-        new = cut(new.select("id", "dangling", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("score"), F.col("score").alias("old")))
+        new = new.select("id", "dangling", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("score"), F.col("score").alias("old"))
+        # one job a round: what the sums read is kept for the next one; a few rounds on, the lineage is cut
+        new = new.persist(StorageLevel.MEMORY_AND_DISK) if i % CUT else cut(new)
         change, lost = new.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0))).first()
         ranks = new.drop("old")
+        if i % CUT:
+            held.append(new)
+        else:
+            for x in held:
+                x.unpersist()
+            held = []
         if change < tolerance:
             break
     return ranks.select("id", "score")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import urllib.error
 import urllib.request
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import dot, fnv1a, hash_vector
-from ..functions.text import embedding_text
+from ..functions.text import CAMEL, embedding_text
 
 
 class Embedder(Protocol):
@@ -80,13 +81,22 @@ def embed(chunks: DataFrame, make: Callable[[], Embedder], id_col: str = "id", t
 
 
 class HashEmbedder:
-    """The default without a model: hash vectors of identifiers and blank-separated words."""
+    """The default without a model: hash vectors of blank-separated words, without the mark of passages; with query, of identifiers' words too."""
 
-    def __init__(self, dims: int = 768):
-        self.dims = dims
+    def __init__(self, dims: int = 768, query: bool = False):
+        self.dims, self.query = dims, query
+
+    def words(self, text: str) -> list[str]:
+        if not self.query:
+            return text.removeprefix("passage:").lower().split()
+        words = []
+        for w in re.sub(r"[^\w.]", " ", text.removeprefix("query:")).split():
+            parts = [p.lower() for p in re.split(CAMEL, w) if p]
+            words += [w.lower(), *(p for p in parts if p != w.lower())]
+        return words
 
     def __call__(self, texts: Sequence[str]) -> list[list[float] | None]:
-        return [hash_vector(t.lower().split(), self.dims).tolist() if t.strip() else None for t in texts]
+        return [hash_vector(self.words(t), self.dims).tolist() if t.strip() else None for t in texts]
 
 
 class HttpEmbedder:
@@ -136,6 +146,17 @@ class ApiEmbedder:
         raise EmbeddingError("unreachable")
 
 
+def query_embedder(kind: str, url: str = "", model: str = "", dims: int = 768, key: str | None = None) -> Embedder:
+    """For queries, the embedder that an index was made with: hash, server, or api (whose key isn't stored)."""
+    if kind == "server":
+        return HttpEmbedder(url, "query")
+    if kind == "api":
+        if not key:
+            raise EmbeddingError("the index was made by an API; its key is needed to embed queries")
+        return ApiEmbedder(url, key, model)
+    return HashEmbedder(dims, query=True)
+
+
 def choose(api: tuple[str, str, str] | None = None, server: str | None = None, local: Callable[[], Embedder] | None = None) -> Callable[[], Embedder] | None:
     """API, then server, then a local model, or none."""
     if api:

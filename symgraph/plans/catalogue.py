@@ -11,8 +11,10 @@ from .. import schema
 from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import graph, hybrid, incremental, items, lexical, navigate, vectors
-from ..operators.pagerank import pagerank
+from ..operators.pagerank import ITERATIONS, TOLERANCE, pagerank, shared_folder
+from ..sources import files
 from . import trade
+from .index import Index
 from .trade import EDGES_SQL, NODES_SQL, pagerank_sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,9 +88,9 @@ CLASS_SQL = rf"""CASE WHEN trim(v) = '' OR regexp_matches(v, '[ \n<>]') OR regex
  WHEN contains(v, '.') THEN true WHEN regexp_matches(v, '^({"|".join(T.CLASS_PREFIXES)})') OR regexp_matches(v, '({"|".join(T.CLASS_SUFFIXES)})$') THEN true ELSE regexp_matches(v, '^\p{{Lu}}') AND length(v) > 2 END"""
 
 
-@query(f"SELECT doc_id, n, {CLASS_SQL} AS is_class FROM (SELECT doc_id, i AS n, list_extract(string_split(text, ' '), i) AS v FROM documents, (SELECT unnest(range(1, 21)) AS i) WHERE i <= len(string_split(text, ' ')))")
+@query(f"SELECT doc_id, n, {CLASS_SQL} AS is_class FROM (SELECT doc_id, generate_subscripts(ws, 1)::INT AS n, unnest(ws) AS v FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents))")
 def class_name_heuristic(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 20)).alias("n", "v"))
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("n", "v"))
     return words.select("doc_id", (F.col("n") + 1).alias("n"), T.looks_like_class(F.col("v")).alias("is_class"))
 
 
@@ -139,14 +141,12 @@ def index_postings(spark, sf_dir):
     return _posted(spark, sf_dir)
 
 
-def _search(spark, sf_dir, similarity="bm25", lang=None):
-    docs = table(spark, sf_dir, "documents")
-    docs = docs.where(F.col("lang") == lang) if lang else docs
-    return lexical.scores(docs, "doc_id", {"text": T.tokens(F.col("text"))}, SEARCH, similarity=similarity)
+def _search(spark, sf_dir, similarity="bm25", query=SEARCH):
+    return lexical.scores(table(spark, sf_dir, "documents"), "doc_id", {"text": T.tokens(F.col("text"))}, query, similarity=similarity)
 
 
-def _topk_sql(where: str, value: str) -> str:
-    return f"WITH {TOKENS_SQL}, sized AS (SELECT * FROM toks WHERE {where}), {LONG_BM25} SELECT doc_id, round({value}, 6) AS score FROM hits JOIN dfs USING (term), stats GROUP BY doc_id ORDER BY {value} DESC, doc_id LIMIT 20"
+def _topk_sql(where: str, value: str, having: str = "") -> str:
+    return f"WITH {TOKENS_SQL}, sized AS (SELECT * FROM toks WHERE {where}), {LONG_BM25} SELECT doc_id, round({value}, 6) AS score FROM hits JOIN dfs USING (term), stats {having} GROUP BY doc_id ORDER BY {value} DESC, doc_id LIMIT 20"
 
 
 @query(f"WITH s AS ({_topk_sql('true', BM25)}) SELECT s.doc_id, s.score, CASE WHEN length(t) <= 320 THEN t ELSE substr(t, 1, 320) || ' …' END AS preview FROM s JOIN (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents) d ON d.doc_id = s.doc_id")
@@ -161,9 +161,11 @@ def lexical_classic_topk(spark, sf_dir):
     return lexical.top_k(_search(spark, sf_dir, "classic"), 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(_topk_sql("lang = 'en'", BM25))
+@query(_topk_sql("true", BM25, "WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'fr')").replace("['erhein', 'thinor']", "['de', 'erhein', 'la', 'thinor']"))
 def lexical_lang_filter(spark, sf_dir):
-    return lexical.top_k(_search(spark, sf_dir, lang="en"), 20).select("doc_id", F.round("score", 6).alias("score"))
+    """Statistics are of all documents; the filter takes the hits of a language."""
+    wanted = hybrid.language_filter(table(spark, sf_dir, "documents"), "French", codes={"french": "fr"}).select("doc_id")
+    return lexical.top_k(_search(spark, sf_dir, query="thinor la erhein de").join(wanted, "doc_id", "left_semi"), 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 # vectors ------------------------------------------------------------------------------------------------------------
@@ -195,12 +197,12 @@ def hash_embed(spark, sf_dir):
     return v.select(F.col("id").alias("doc_id"), F.posexplode("vector").alias("bucket", "value")).where("value <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
-_LEX = _topk_sql("true", BM25).replace("LIMIT 20", "LIMIT 100").replace(f"round({BM25}, 6)", BM25)
+_LEX = _topk_sql("true", BM25).replace("LIMIT 20", f"LIMIT {schema.LEXICAL_K}").replace(f"round({BM25}, 6)", BM25)
 _HYBRID = f"lex AS ({_LEX}), sem AS (SELECT vec_id AS id, {DOT_SQL} AS s FROM embeddings WHERE vec_id IN (SELECT doc_id FROM lex) ORDER BY s DESC, id LIMIT 20)"
 
 
 def _stages(spark, sf_dir):
-    lex = lexical.top_k(_search(spark, sf_dir), 100).withColumnRenamed("doc_id", "id")
+    lex = lexical.top_k(_search(spark, sf_dir), schema.LEXICAL_K).withColumnRenamed("doc_id", "id")
     sem = vectors.top_k(table(spark, sf_dir, "embeddings"), VECTOR, 20, "vec_id", "embedding", lex.select("id"))
     return lex, sem
 
@@ -226,12 +228,13 @@ def _refs(spark, sf_dir):
 
 
 def _symbols(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return docs.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.element_at(F.split("text", " "), 1).alias("symbol_name"))
+    """A document defines each of its words that looks like a class name."""
+    words = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.explode(F.array_distinct(F.split("text", " "))).alias("v"))
+    return words.where(T.looks_like_class(F.col("v"))).select("id", F.lower("v").alias("symbol_name")).distinct()
 
 
-REFS_SQL = """refs AS (SELECT 'page:' || page_id AS src, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS ref_name FROM pages),
-syms AS (SELECT 'doc:' || doc_id AS id, lower(string_split(text, ' ')[1]) AS name FROM documents WHERE lang = 'en')"""
+REFS_SQL = f"""refs AS (SELECT 'page:' || page_id AS src, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS ref_name FROM pages),
+syms AS (SELECT DISTINCT 'doc:' || doc_id AS id, lower(v) AS name FROM (SELECT doc_id, unnest(list_distinct(string_split(text, ' '))) AS v FROM documents) WHERE {CLASS_SQL})"""
 
 
 @query(f"WITH {REFS_SQL} SELECT src, id AS dst, 'References' AS kind, count(*) AS n FROM refs JOIN syms ON lower(ref_name) = name GROUP BY ALL")
@@ -250,7 +253,7 @@ def resolve_refs_suffix(spark, sf_dir):
 @query(f"WITH {REFS_SQL} SELECT name, len(list(id)) AS n, min(id) AS first FROM syms GROUP BY name")
 def symbols_by_name(spark, sf_dir):
     x = graph.symbols_by_name(_symbols(spark, sf_dir))
-    return x.select("name", F.size("ids").alias("n"), F.element_at("ids", 1).alias("first"))
+    return x.select("name", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first"))
 
 
 @query(f"WITH {EDGES_SQL} SELECT * FROM edges")
@@ -302,36 +305,57 @@ def pagerank_k(spark, sf_dir):
     return pagerank(trade.nodes(spark, sf_dir), trade.edges(spark, sf_dir), iterations=5, tolerance=0).select("id", F.round("score", 9).alias("score"))
 
 
+@query(pagerank_sql(ITERATIONS, TOLERANCE) + f" SELECT id, round(score, 9) AS score FROM pr{ITERATIONS}")
+def pagerank_converged(spark, sf_dir):
+    return pagerank(trade.nodes(spark, sf_dir), trade.edges(spark, sf_dir)).select("id", F.round("score", 9).alias("score"))
+
+
 WEIGHT_SQL = "CASE kind " + " ".join(f"WHEN '{k[0]}' THEN {k[2]}" for k in schema.EDGE_KINDS) + " ELSE 0.1 END"
 
 
-def _page_sql(where: str, other: str, page: int, size: int, more: str = "", iterations: int = 2) -> str:
+def _jw_sql(a: str, b: str) -> str:
+    """Jaro-Winkler without a cap on the common prefix."""
+    prefix = f"len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: substr({a}, 1, i::BIGINT) = substr({b}, 1, i::BIGINT)))"
+    j = f"jaro_similarity({a}, {b})"
+    return f"(CASE WHEN {j} < 0.7 OR {j} = 1 THEN {j} ELSE {j} + least(0.1::DOUBLE, 1::DOUBLE / greatest(length({a}), length({b}))) * {prefix} * (1 - {j}) END)"
+
+
+def _page_sql(where: str, other: str, symbol: str, page: int, size: int, more: str = "") -> str:
     label = "CASE kind " + " ".join(f"WHEN '{k[0]}' THEN '{k[3] if other == 'dst' else k[4]}'" for k in schema.EDGE_KINDS) + " ELSE kind END"
-    return f"""{pagerank_sql(iterations)}, near AS (SELECT {other} AS id, kind, sum(n)::BIGINT AS n FROM edges WHERE {where} GROUP BY ALL), f AS (SELECT * FROM near {more}),
-s AS (SELECT f.id, f.kind, f.n, coalesce(p.score, 0) * 1e7 * {WEIGHT_SQL} * sqrt(n) AS score FROM f LEFT JOIN pr{iterations} p ON p.id = f.id)
+    name = "'" + symbol + "'"
+    return f"""{pagerank_sql(ITERATIONS, TOLERANCE)}, near AS (SELECT {other} AS id, kind, sum(n)::BIGINT AS n FROM edges WHERE {where} GROUP BY ALL), f AS (SELECT * FROM near {more}),
+s AS (SELECT f.id, f.kind, f.n, coalesce(p.score, 0) * 1e7 * {WEIGHT_SQL} * sqrt(n) * {_jw_sql(name, "f.id")} AS score FROM f LEFT JOIN pr{ITERATIONS} p ON p.id = f.id)
 SELECT id, kind, n, round(score, 3) AS score, {label} AS label, (SELECT count(*) FROM s) AS total_count, CAST(ceil((SELECT count(*) FROM s) / {size}.0) AS BIGINT) AS pages FROM s ORDER BY s.score DESC, id, kind LIMIT {size} OFFSET {(page - 1) * size}"""
 
 
-def _page(spark, sf_dir, symbol, direction, page, size, kind=None):
-    e = trade.edges(spark, sf_dir)
-    ranks = pagerank(trade.nodes(spark, sf_dir), e, iterations=2, tolerance=0)
-    rows = navigate.query(e, ranks, symbol, direction, kind, page, size, name_similarity=False)
+def _page(edges, ranks, symbol, direction, page, size, kind=None):
+    rows = navigate.query(edges, ranks, symbol, direction, kind, page, size)
     return rows.select("id", "kind", "n", F.round("score", 3).alias("score"), "label", "total_count", "pages")
 
 
-@query(_page_sql("src = 'cust:1' AND kind <> 'CSharpUsedByDef'", "dst", 1, 10))
+def _made(spark, sf_dir):
+    e = trade.edges(spark, sf_dir)
+    return e, pagerank(trade.nodes(spark, sf_dir), e)
+
+
+USES_SQL = _page_sql("src = 'cust:1' AND kind <> 'CSharpUsedByDef'", "dst", "cust:1", 1, 10)
+USED_BY_SQL = _page_sql("dst = 'xml:nation:3'", "src", "xml:nation:3", 2, 5)
+XML_SQL = _page_sql("dst = 'xml:region:1'", "src", "xml:region:1", 1, 30, "WHERE lower(id) LIKE 'xml:%'")
+
+
+@query(USES_SQL)
 def uses_page(spark, sf_dir):
-    return _page(spark, sf_dir, "cust:1", "uses", 1, 10)
+    return _page(*_made(spark, sf_dir), "cust:1", "uses", 1, 10)
 
 
-@query(_page_sql("dst = 'xml:nation:3'", "src", 2, 5))
+@query(USED_BY_SQL)
 def used_by_page(spark, sf_dir):
-    return _page(spark, sf_dir, "xml:nation:3", "used_by", 2, 5)
+    return _page(*_made(spark, sf_dir), "xml:nation:3", "used_by", 2, 5)
 
 
-@query(_page_sql("dst = 'xml:region:1'", "src", 1, 30, "WHERE lower(id) LIKE 'xml:%'"))
+@query(XML_SQL)
 def used_by_xml_only(spark, sf_dir):
-    return _page(spark, sf_dir, "xml:region:1", "used_by", 1, 30, "xml")
+    return _page(*_made(spark, sf_dir), "xml:region:1", "used_by", 1, 30, "xml")
 
 
 @query(f"""WITH RECURSIVE {EDGES_SQL}, steps AS (SELECT DISTINCT src, dst FROM edges WHERE kind <> 'CSharpUsedByDef'), hop(id, distance) AS (SELECT dst, 1 FROM steps WHERE src = 'cust:1' UNION SELECT dst, distance + 1 FROM hop JOIN steps ON src = id WHERE distance < 3)
@@ -340,10 +364,10 @@ def n_hop(spark, sf_dir):
     return navigate.n_hop(trade.edges(spark, sf_dir), "cust:1", "uses", 3).select("id", "distance")
 
 
-@query("SELECT id, round(0.3 * jaro_winkler_similarity('part:12', id) + 0.3 * least(6.0 / length(id), 1) + 0.4 * ((list_contains(string_split(id, ':'), 'part')::INT + list_contains(string_split(id, ':'), '12')::INT) / 2), 6) AS score FROM (SELECT 'part:' || p_partkey AS id FROM part) WHERE contains(id, 'part') AND contains(id, '12')")
+@query(f"SELECT id, round(0.3 * {_jw_sql("'part:12'", "id")} + 0.3 * least(6.0 / length(id), 1) + 0.4 * ((list_contains(string_split(id, ':'), 'part')::INT + list_contains(string_split(id, ':'), '12')::INT) / 2), 6) AS score FROM (SELECT 'part:' || p_partkey AS id FROM part) WHERE contains(id, 'part') AND contains(id, '12')")
 def resolve_symbol(spark, sf_dir):
     nodes = table(spark, sf_dir, "part").select(trade.name("part", "p_partkey").alias("id"))
-    return navigate.fuzzy_rank(nodes, "part:12", capped=True).select("id", F.round("score", 6).alias("score"))
+    return navigate.fuzzy_rank(nodes, "part:12").select("id", F.round("score", 6).alias("score"))
 
 
 @query("""SELECT id, round(CASE kind WHEN 'type' THEN 1000 + CASE WHEN ends_with(low, '.economy') THEN 500 WHEN ends_with(low, 'economy') THEN 200 ELSE 0 END WHEN 'property' THEN 50 WHEN 'field' THEN 40 ELSE 10 END + 20 * contains(low, 'economy')::INT - 0.2::DOUBLE * length(id) - CASE WHEN contains(id, '(') THEN 200 ELSE 0 END, 4) AS score
@@ -365,6 +389,103 @@ def edge_kind_codes(spark, sf_dir):
     return e.select("kind", "code", schema.decode(F.col("code")).alias("back"), "n")
 
 
+# the stored index ---------------------------------------------------------------------------------------------------
+
+_BUILT: dict[tuple[str, str], Index] = {}
+
+
+def prepared(spark, sf_dir) -> Index:
+    """The tables that a build stores, of the documents and the trade graph: made once for a session, in the folder that all hosts share."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        index = Index(spark, shared_folder(spark, "catalogue"))
+        docs, words = table(spark, sf_dir, "documents"), {"text": T.tokens(F.col("text"))}
+        posted = lexical.index_postings(docs, "doc_id", words)
+        posted = index.put(posted.repartitionByRange("field", "term").sortWithinPartitions("field", "term"), "postings", "field")
+        index.put(lexical.term_stats(posted).repartitionByRange("field", "term").sortWithinPartitions("field", "term"), "term_stats", "field")
+        index.put(lexical.field_stats(docs, words), "field_stats")
+        index.put(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "vectors")
+        edges = trade.edges(spark, sf_dir)
+        files.write_graph(edges, graph.node_index(trade.nodes(spark, sf_dir)), index.path)
+        index.put(pagerank(index.table("nodes"), index.table("edges_out")), "ranks")
+        _BUILT[key] = index
+    return _BUILT[key]
+
+
+def _indexed(spark, sf_dir, **options):
+    of = prepared(spark, sf_dir).table
+    return hybrid.rough_search_indexed(of("postings"), of("term_stats"), of("field_stats"), SEARCH, boosts={"text": 1.0}, **options)
+
+
+@query(_topk_sql("true", BM25).replace("SELECT doc_id, round", "SELECT doc_id AS id, 'lexical' AS source, round"))
+def indexed_lexical_topk(spark, sf_dir):
+    return _indexed(spark, sf_dir).select("id", F.round("score", 6).alias("score"), "source")
+
+
+@query(f"""WITH {_HYBRID}, x AS (SELECT coalesce(doc_id, id) AS id, score AS l, s FROM lex FULL JOIN sem ON doc_id = id),
+y AS (SELECT id, coalesce(CASE WHEN max(l) OVER () > 0 THEN l / max(l) OVER () END, 0) + 2 * coalesce(CASE WHEN max(s) OVER () > 0 THEN s / max(s) OVER () END, 0) + CASE WHEN l IS NOT NULL AND s IS NOT NULL THEN 1 ELSE 0 END AS v,
+CASE WHEN l IS NOT NULL AND s IS NOT NULL THEN 'mixed' WHEN l IS NOT NULL THEN 'lexical' ELSE 'semantic' END AS source FROM x)
+SELECT id, round(v, 6) AS score, source FROM y ORDER BY v DESC, id LIMIT 20""")
+def indexed_rough_search(spark, sf_dir):
+    """Both stages and the hybrid score, cut at the number of results."""
+    found = _indexed(spark, sf_dir, vectors_table=prepared(spark, sf_dir).table("vectors"), embedder=lambda _: VECTOR, use_semantic_only=False)
+    return found.select("id", F.round("score", 6).alias("score"), "source")
+
+
+@query(USES_SQL)
+def indexed_uses_page(spark, sf_dir):
+    of = prepared(spark, sf_dir).table
+    return _page(of("edges_out"), of("ranks"), "cust:1", "uses", 1, 10)
+
+
+@query(USED_BY_SQL)
+def indexed_used_by_page(spark, sf_dir):
+    of = prepared(spark, sf_dir).table
+    return _page(of("edges_in"), of("ranks"), "xml:nation:3", "used_by", 2, 5)
+
+
+# edges between code and definitions ---------------------------------------------------------------------------------
+
+
+BRAND_SQL = "'Brand#' || (o_custkey % 40 + 1)"
+
+
+@query(f"SELECT 'xml:' || o_orderstatus AS src, {BRAND_SQL} AS dst, 'XmlBindsClass' AS kind, count(*) AS n FROM orders WHERE {BRAND_SQL} IN (SELECT p_brand FROM part) GROUP BY ALL")
+def bound_classes(spark, sf_dir):
+    """Definitions bind the types whose id they name."""
+    refs = table(spark, sf_dir, "orders").select(F.concat(F.lit("xml:"), "o_orderstatus").alias("src"), F.concat(F.lit("Brand#"), (F.col("o_custkey") % 40 + 1).cast("string")).alias("ref_name"), F.lit("XmlBindsClass").alias("kind"))
+    return graph.bound(refs, table(spark, sf_dir, "part").select(F.col("p_brand").alias("id")))
+
+
+TARGET_SQL = "CASE o_orderkey % 4 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'economy' WHEN 2 THEN 'nothing' ELSE 'PART:' || (o_custkey % 500) END"
+
+
+@query(f"WITH defs AS (SELECT 'part:' || p_partkey AS x FROM part UNION SELECT lower(p_type) FROM part) SELECT o_orderkey, ref_name FROM (SELECT o_orderkey, {TARGET_SQL} AS ref_name FROM orders) WHERE lower(ref_name) IN (SELECT x FROM defs)")
+def valid_reference_targets(spark, sf_dir):
+    """References to definitions that exist, by id or by name, in any case."""
+    key = F.col("o_orderkey") % 4
+    target = F.when(key == 0, "ECONOMY").when(key == 1, "economy").when(key == 2, "nothing").otherwise(F.concat(F.lit("PART:"), (F.col("o_custkey") % 500).cast("string")))
+    defs = table(spark, sf_dir, "part").select(trade.name("part", "p_partkey").alias("id"), F.col("p_type").alias("symbol_name"))
+    return graph.valid_references(table(spark, sf_dir, "orders").select("o_orderkey", target.alias("ref_name")), defs)
+
+
+@query(f"WITH {EDGES_SQL}, defs AS (SELECT 'xml:nation:' || n_nationkey AS id, lower(n_name) AS name FROM nation) SELECT src, id AS dst, 'XmlReferences' AS kind, count(*) AS n FROM (SELECT 'xml:region:' || (c_custkey % 5) AS src, CASE WHEN c_custkey % 2 = 0 THEN upper(n_name) ELSE 'none' END AS ref_name FROM customer JOIN nation ON c_nationkey = n_nationkey) JOIN defs ON lower(ref_name) = name GROUP BY ALL")
+def def_references(spark, sf_dir):
+    """Definitions refer to definitions by name; names of none are left out first."""
+    nation = table(spark, sf_dir, "nation")
+    refs = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    refs = refs.select(F.concat(F.lit("xml:region:"), (F.col("c_custkey") % 5).cast("string")).alias("src"), F.when(F.col("c_custkey") % 2 == 0, F.upper("n_name")).otherwise("none").alias("ref_name"), F.lit("XmlReferences").alias("kind"))
+    defs = nation.select(trade.name("xml:nation", "n_nationkey").alias("id"), F.col("n_name").alias("symbol_name"))
+    return graph.resolve(graph.valid_references(refs, defs), defs)
+
+
+@query(f"WITH {EDGES_SQL}, e AS (SELECT src, dst, n, CASE WHEN kind = 'References' THEN 'Inherits' ELSE kind END AS kind FROM edges) SELECT src, dst, CASE WHEN kind = 'Inherits' AND dst IN (SELECT 'supp:' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) THEN 'Implements' ELSE kind END AS kind, n FROM e")
+def classified_bases(spark, sf_dir):
+    """A base that is an interface is implemented."""
+    e = trade.edges(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "References", "Inherits").otherwise(F.col("kind")))
+    return graph.classified_bases(e, table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(trade.name("supp", "s_suppkey").alias("id")))
+
+
 # tables and increments ----------------------------------------------------------------------------------------------
 
 
@@ -406,12 +527,17 @@ def upsert_last_wins(spark, sf_dir):
     return incremental.upsert(last(e.where("event_id % 2 = 0")), last(e.where("event_id % 2 = 1")))
 
 
-@query("SELECT doc_id, list_extract(string_split(CASE WHEN trim(text) <> '' THEN text ELSE source END, chr(10)), 1) AS title, round_even(n_chars / 7.0, 4) AS score, CASE WHEN lang = 'en' THEN '' ELSE substr(text, 1, 10) END AS shown FROM documents")
+TRIMMED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""WITH s AS ({_topk_sql('true', BM25).replace(f'round({BM25}, 6)', BM25)}), d AS (SELECT doc_id, lang, source, {TRIMMED.format('text')} AS t FROM documents),
+v AS (SELECT *, CASE WHEN length(t) <= 320 THEN t ELSE substr(t, 1, 320) || ' …' END AS shown FROM d)
+SELECT s.doc_id::VARCHAR AS id, list_extract(string_split(CASE WHEN trim(shown, ' ') <> '' THEN trim(shown, ' ') ELSE s.doc_id::VARCHAR END, chr(10)), 1) AS title, round_even(s.score, 4) AS score, source AS path, lang, CASE WHEN length({TRIMMED.format('shown')}) <= 200 THEN {TRIMMED.format('shown')} ELSE substr({TRIMMED.format('shown')}, 1, 200) || ' …' END AS preview FROM s JOIN v USING (doc_id) WHERE trim(source) <> ''""")
 def search_response(spark, sf_dir):
-    title = F.split(F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.col("source")), "\n")[0]
-    plain = F.split(F.when(F.trim("text") != "", F.col("text")).otherwise(F.col("source")), "\n")[0]
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.coalesce(plain, title).alias("title"), F.bround(F.col("n_chars") / 7.0, 4).cast("double").alias("score"), F.when(F.col("lang") == "en", "").otherwise(F.substring("text", 1, 10)).alias("shown"))
+    found = lexical.top_k(_search(spark, sf_dir), 20).select(F.col("doc_id").cast("string").alias("id"), "score", F.lit("lexical").alias("source"))
+    no = lambda kind: F.lit(None).cast(kind)
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("path"), "lang", no("string").alias("signature"), T.preview(F.col("text")).alias("preview"), no("string").alias("symbol_kind"), no("string").alias("namespace"), no("int").alias("start_line"), no("int").alias("end_line"))
+    return hybrid.search_rows(found, chunks).select("id", "title", "score", "path", "lang", "preview")
 
 
 @query("SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS rank, count(*) OVER (PARTITION BY c_nationkey) AS total, CAST(ceil(count(*) OVER (PARTITION BY c_nationkey) / 30.0) AS BIGINT) AS pages FROM customer")

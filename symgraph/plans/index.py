@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -14,7 +14,15 @@ from ..operators import graph, incremental, lexical, vectors
 from ..operators.pagerank import pagerank
 from ..sources import files
 
-TABLES = {"lexical": ("postings", "doc_stats"), "vectors": ("vectors",), "graph": ("edges_out", "edges_in", "nodes", "ranks")}
+TABLES = {"lexical": ("postings", "term_stats", "field_stats"), "vectors": ("vectors", "embedder"), "graph": ("edges_out", "edges_in", "nodes", "ranks")}
+
+
+def fields() -> dict[str, Column]:
+    """Of the lexical index: words of the id and the text; identifiers' words as they are; whole values of the rest."""
+    links, kind = F.array(F.array_join("xml_links", ",")), F.array("def_type")
+    return {
+        "symbol_id": F.array_distinct(tokens(F.col("id"))), "text": tokens(F.col("text")), "identifiers": F.col("identifiers"), "identifiers_kw": F.col("keywords"), "xml_links": F.when(F.size("xml_links") > 0, links), "def_type": F.when(F.trim("def_type") != "", kind)
+    }
 
 
 @dataclass
@@ -57,17 +65,18 @@ def edges_of(chunks: DataFrame, refs: DataFrame, aliases: DataFrame | None = Non
     plain = graph.resolve(refs.where(F.col("kind").isin("Inherits", "Implements", "Calls", "References")), code, mode)
     interfaces = code.where("symbol_kind = 'type' AND text RLIKE '\\\\binterface\\\\s'").where(F.regexp_extract("text", r"\b(class|struct|interface|record|enum)\s", 1) == "interface")
     plain = graph.classified_bases(plain, interfaces)
-    types = code.where("symbol_kind = 'type'").select("id").distinct()
-    bound = graph.grouped(refs.where(F.col("kind").isin("XmlBindsClass", "XmlUsesComp"))).join(types, F.col("ref_name") == F.col("id")).select("src", F.col("id").alias("dst"), "kind", "n")
+    bound = graph.bound(refs.where(F.col("kind").isin("XmlBindsClass", "XmlUsesComp")), code.where("symbol_kind = 'type'"))
     out = [plain, bound, graph.reverse_bindings(bound)]
     if not strict_compat:
         out.append(graph.resolve(graph.valid_references(refs.where(F.col("kind").isin("XmlInherits", "XmlReferences")), defs), defs))
     return graph.valid(graph.union(*out), chunks)
 
 
-def build(spark: SparkSession, root: str, path: str, incremental_run: bool = True, force: str | None = None, embedder=vectors.HashEmbedder, mode: str = "exact", strict_compat: bool = False, **names) -> dict:
+def build(spark: SparkSession, root: str, path: str, incremental_run: bool = True, force: str | None = None, embedder=vectors.HashEmbedder, made_by: tuple[str, str, str] = ("hash", "", ""), mode: str = "exact", strict_compat: bool = False, **names) -> dict:
     """Bring the index of a folder up to date; what was done: changed and deleted files, and the parts made again.
 
+    made_by: kind (hash, server, api), address and model of the embedder, stored so that queries are embedded alike.
+
     Only changed files are parsed; chunks and references of changed and deleted files are replaced. Vectors are made for chunks whose text is new.
     """
     index = Index(spark, path)
@@ -85,22 +94,28 @@ def build(spark: SparkSession, root: str, path: str, incremental_run: bool = Tru
         for name, rows in fresh.items():
             old = index.table(name).join(touched, "path", "left_anti").unionByName(rows) if incremental_run and index.has(name) else rows
             index.put(old, name, *(("lang",) if name == "chunks" else ()))
-        errors = [r.error for r in parsed.where("error IS NOT NULL").select("error").limit(100).collect()]
+        failed = parsed.where("error IS NOT NULL").select("error")
+        errors = [r.error for r in failed.limit(100).collect()]
+        if len(errors) == 100 and (more := failed.count() - 100):
+            errors.append(f"and {more} more")
         index.put(listed, "file_state")
         parsed.unpersist()
     else:
         errors = []
     chunks = graph.first_of_each(index.table("chunks"), F.col("id"), [F.col("path"), F.col("span_start")])
     if "lexical" in parts:
-        posted = lexical.postings(chunks, "id", {"symbol_id": F.array_distinct(tokens(F.col("id"))), "text": tokens(F.col("text"))})
+        posted = lexical.index_postings(chunks, "id", fields())
         posted = index.put(posted.repartitionByRange("field", "term").sortWithinPartitions("field", "term"), "postings", "field")
-        index.put(lexical.doc_stats(posted), "doc_stats", "field")
+        index.put(lexical.term_stats(posted).repartitionByRange("field", "term").sortWithinPartitions("field", "term"), "term_stats", "field")
+        index.put(lexical.field_stats(chunks, fields()), "field_stats")
     if "vectors" in parts and embedder is not None:
         hashed = chunks.withColumn("hash", F.sha2(F.concat_ws("\0", "text", "preview"), 256))
         kept = index.table("vectors").join(hashed.select("id", "hash"), ["id", "hash"], "left_semi") if index.has("vectors") and force is None else None
         todo = hashed.join(kept.select("id"), "id", "left_anti") if kept is not None else hashed
         new = vectors.embed(todo, embedder).where("vector IS NOT NULL").join(todo.select("id", "hash"), "id").select("id", "hash", "vector")
         index.put(kept.select("id", "hash", "vector").unionByName(new) if kept is not None else new, "vectors")
+        first = index.table("vectors").select(F.size("vector").alias("n")).first()
+        index.put(spark.createDataFrame([(*made_by, first.n if first else 0)], "kind string, url string, model string, dims int"), "embedder")
     if "graph" in parts:
         e = edges_of(chunks, index.table("refs").drop("path"), index.table("aliases"), mode, strict_compat)
         nodes = graph.node_index(chunks)

@@ -63,11 +63,12 @@ rawedges AS (SELECT 'cust:' || o_custkey AS src, 'part:' || l_partkey AS dst, 'C
 edges AS (SELECT src, dst, kind, count(*) AS n FROM rawedges GROUP BY ALL)"""
 
 
-def pagerank_sql(iterations: int) -> str:
-    """WITH clauses whose last, pr{iterations}, has id and score."""
-    parts = [NODES_SQL, EDGES_SQL, "deg AS (SELECT src, sum(n) AS o FROM edges GROUP BY src)", "nn AS (SELECT count(*) AS c FROM nodes)", "pr0 AS (SELECT id, 1.0::DOUBLE / c AS score FROM nodes, nn)"]
+def pagerank_sql(iterations: int, tolerance: float = 0.0) -> str:
+    """WITH clauses whose last, pr{iterations}, has id and score. From the round on whose change is below the tolerance, scores stay."""
+    parts = [NODES_SQL, EDGES_SQL, "deg AS (SELECT src, sum(n) AS o FROM edges GROUP BY src)", "nn AS (SELECT count(*) AS c FROM nodes)", "pr0 AS (SELECT id, 1.0::DOUBLE / c AS score, false AS done FROM nodes, nn)"]
     for i in range(iterations):
         parts.append(f"got{i} AS (SELECT dst, sum(p.score * e.n / d.o) AS g FROM edges e JOIN pr{i} p ON e.src = p.id JOIN deg d ON d.src = e.src GROUP BY dst)")
         parts.append(f"lost{i} AS (SELECT coalesce(sum(score), 0) AS l FROM pr{i} WHERE id NOT IN (SELECT src FROM deg))")
-        parts.append(f"pr{i + 1} AS MATERIALIZED (SELECT p.id, 0.15::DOUBLE / c + 0.85::DOUBLE * (coalesce(g, 0) + l / c) AS score FROM pr{i} p LEFT JOIN got{i} ON p.id = dst, nn, lost{i})")
+        parts.append(f"new{i} AS MATERIALIZED (SELECT p.id, p.score AS old, p.done, CASE WHEN p.done THEN p.score ELSE 0.15::DOUBLE / c + 0.85::DOUBLE * (coalesce(g, 0) + l / c) END AS score FROM pr{i} p LEFT JOIN got{i} ON p.id = dst, nn, lost{i})")
+        parts.append(f"pr{i + 1} AS MATERIALIZED (SELECT id, score, done OR sum(abs(score - old)) OVER () < {tolerance} AS done FROM new{i})")
     return "WITH " + ",\n".join(parts)

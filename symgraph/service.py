@@ -33,24 +33,29 @@ class Tool:
 
 
 class Tools:
-    def __init__(self, index: Index, embedder: vectors.Embedder | None = None):
+    def __init__(self, index: Index, embedder: vectors.Embedder | None = None, api_key: str | None = None):
+        """Queries are embedded by what the index was made with, unless another embedder is given."""
         self.index = index
-        self.embed = vectors.QueryCache(embedder or vectors.HashEmbedder())
+        if embedder is None and index.has("embedder"):
+            e = index.table("embedder").first()
+            embedder = vectors.query_embedder(e.kind, e.url, e.model, e.dims or 768, api_key) if e.kind != "api" or api_key else None
+        self.embed = vectors.QueryCache(embedder) if embedder else None
         text, number = {"type": "string"}, {"type": "integer"}
-        page = {"symbol": text, "kind": text, "depth": number, "page": number, "max_results": number}
+        page = {"symbol": text, "kind": text, "depth": {**number, "minimum": 1, "maximum": 2}, "page": {**number, "minimum": 1}, "max_results": {**number, "minimum": 1, "maximum": 500}}
         made = [
-            Tool("rough_search", "Ranked search in code and definitions", {"query": text, "kind": text, "max_results": number}, ["query"], self.rough_search),
+            Tool("rough_search", "Ranked search in code and definitions", {"query": text, "kind": text, "max_results": {**number, "minimum": 1, "maximum": 100}, "lexical_k": {**number, "minimum": 1}, "semantic_k": {**number, "minimum": 0}}, ["query"], self.rough_search),
             Tool("get_uses", "What a symbol uses", page, ["symbol"], lambda a: self.neighbours(a, "uses")),
             Tool("get_used_by", "What uses a symbol", page, ["symbol"], lambda a: self.neighbours(a, "used_by")),
-            Tool("get_item", "A symbol's source", {"symbol": text, "max_lines": number}, ["symbol"], self.get_item),
+            Tool("get_item", "A symbol's source", {"symbol": text, "max_lines": {**number, "minimum": 0}}, ["symbol"], self.get_item),
         ]
         self.by_name = {t.name: t for t in made}
 
     def rough_search(self, a: dict) -> dict:
         began = time.time()
-        chunks = self.index.table("chunks")
-        table = self.index.table("vectors") if self.index.has("vectors") else None
-        found = hybrid.rough_search(chunks, _text(a, "query"), table, self.embed, a.get("kind"), _int(a, "max_results", schema.MAX_RESULTS))
+        chunks, has, of = self.index.table("chunks"), self.index.has, self.index.table
+        table = of("vectors") if has("vectors") else None
+        lexical_k, semantic_k = _int(a, "lexical_k", schema.LEXICAL_K), _int(a, "semantic_k", 0)
+        found = hybrid.rough_search_indexed(of("postings"), of("term_stats"), of("field_stats"), _text(a, "query"), table, self.embed, a.get("kind"), _int(a, "max_results", schema.MAX_RESULTS), lexical_k, semantic_k=semantic_k)
         rows = hybrid.search_rows(found, chunks)
         rows = rows.join(self.index.table("nodes"), "id", "left").orderBy(F.desc("score"), "id")
         return {"results": [r.asDict() for r in rows.collect()], "queryTime": f"{time.time() - began:.2f}s"}

@@ -76,7 +76,7 @@ def title(e: ET.Element, def_type: str, name: str, parent: str | None) -> str:
     add("Label", probe(e, "label"))
     about = probe(e, "description")
     add("Description", about if about is None or len(about) <= 150 else about[:147] + "...")
-    add("Class", probe(e, "thingClass", "workerClass", "driverClass", "hediffClass", "class"))
+    add("Class", probe(e, *"thingClass class workerClass hediffClass".split()))
     if def_type == "ThingDef":
         add("Category", probe(e, "designationCategory"))
         join("Stats", [f"{local(s)}={value(s)}" for s in children(child(e, "statBases")) if local(s) in SHOWN_STATS][:4])

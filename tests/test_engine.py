@@ -1,5 +1,7 @@
 import io
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 import math
 
 import pytest
@@ -65,10 +67,10 @@ def test_linkable_fields(spark):
 def test_index_scores_equal_direct_ones(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
     fields = {"text": F.split(F.lower("text"), " ")}
-    posted = lexical.postings(docs, "doc_id", fields)
+    posted = lexical.index_postings(docs, "doc_id", fields)
     for similarity in ("bm25", "classic"):
         a = {r.doc_id: r.score for r in lexical.scores(docs, "doc_id", fields, "re of thinor hated", similarity=similarity).collect()}
-        b = {r.doc_id: r.score for r in lexical.scores_from_index(posted, lexical.doc_stats(posted), "re of thinor hated", {"text": 1.0}, similarity).collect()}
+        b = {r.doc_id: r.score for r in lexical.scores_from_index(posted, lexical.term_stats(posted), lexical.field_stats(docs, fields), "re of thinor hated", {"text": 1.0}, similarity).collect()}
         assert a == pytest.approx(b)
     assert lexical.scores(docs, "doc_id", fields, "the of").collect() == []
 
@@ -90,6 +92,9 @@ def test_search_fallbacks(spark):
     with pytest.raises(vectors.EmbeddingError):
         found(vectors_table=v, embedder=Broken())
     assert len(found(vectors_table=v, embedder=Broken(), on_embed_error="lexical")) == 2
+    with pytest.raises(vectors.EmbeddingError, match="different embedders"):
+        found(vectors_table=v, embedder=lambda _: [1.0, 0.0, 0.0])
+    assert len(found(vectors_table=v, embedder=lambda _: [1.0], on_embed_error="lexical")) == 2
     for bad in (0, 101):
         with pytest.raises(ValueError):
             found(max_results=bad)
@@ -139,6 +144,10 @@ def test_build(spark, indexed):
     root, out, done = indexed
     assert done["changed"] == 3 and len(done["errors"]) == 1 and "bad.xml" in done["errors"][0]
     t = tables(spark, out)
+    index = Index(spark, str(out))
+    assert index.table("embedder").first().asDict() == {"kind": "hash", "url": "", "model": "", "dims": 768}
+    assert {r.field for r in index.table("field_stats").collect()} == {"symbol_id", "text", "identifiers", "identifiers_kw", "xml_links", "def_type"}
+    assert index.table("postings").where("field = 'def_type' AND term = 'ThingDef'").count() > 0
     assert len(t["chunks"]) == 8 and len(t["vectors"]) == 8 and [i for i, _ in t["nodes"]] == list(range(8))
     edges = {(s.split(".")[-1], d.split(".")[-1], k): n for s, d, k, n in t["edges_out"]}
     assert edges["Door", "private void Init(int hp)", "Calls"] == 2 and edges["xml:ThingDef:Door <- BaseDoor", "xml:ThingDef:Steel", "XmlReferences"] == 1
@@ -189,6 +198,12 @@ def test_service(spark, indexed):
     assert body(call("get_item", symbol="xml:ThingDef:Door", max_lines=1))["id"] == "xml:ThingDef:Door <- BaseDoor"
     found = body(call("rough_search", query="door simple", kind="def", max_results=3))["results"]
     assert found and found[0]["lang"] == "xml"
+    direct = hybrid.rough_search(Index(spark, str(indexed[1])).table("chunks"), "door simple", kind="def").collect()
+    stored = Tools(Index(spark, str(indexed[1])), vectors.HashEmbedder(3))
+    with pytest.raises(vectors.EmbeddingError):
+        stored.rough_search({"query": "door"})
+    stored.embed = None
+    assert {r["id"] for r in stored.rough_search({"query": "door simple", "kind": "def"})["results"]} == {r.id for r in direct}
     out = io.StringIO()
     server.serve(io.StringIO('\n{"id":1,"method":"initialize"}\nnot json\n{"id":2,"method":"shutdown"}\n{"id":3,"method":"initialize"}\n'), out)
     assert [json.loads(x).get("id") for x in out.getvalue().splitlines()] == [1, None, 2]
@@ -204,3 +219,79 @@ def test_command_line(spark, indexed, tmp_path):
     assert configured({"SYMGRAPH_INDEX": str(indexed[1])}) == str(indexed[1])
     with pytest.raises(FileNotFoundError):
         configured({}, str(tmp_path / "none.json"))
+
+
+class Answers(BaseHTTPRequestHandler):
+    """An embedding server and an API: the vector of a text is its length; the first API call is told to wait."""
+
+    seen: list = []
+
+    def do_GET(self):
+        self.reply(200 if self.path == "/health" else 404, {})
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.seen.append((self.path, body, self.headers.get("Authorization")))
+        if self.path == "/embed":
+            self.reply(200, {"vectors": [[float(len(i["text"])), 1.0] for i in body["items"]]})
+        elif self.path == "/bad":
+            self.reply(400, {})
+        elif sum(p == "/api" for p, *_ in self.seen) == 1:
+            self.reply(429, {}, {"Retry-After": "7"})
+        else:
+            self.reply(200, {"data": [{"index": i, "embedding": [float(len(t))]} for i, t in reversed(list(enumerate(body["input"])))]})
+
+    def reply(self, status, body, headers=()):
+        self.send_response(status)
+        for k, v in dict(headers).items():
+            self.send_header(k, v)
+        self.end_headers()
+        self.wfile.write(json.dumps(body).encode())
+
+    def log_message(self, *_):
+        pass
+
+
+def test_embedding_clients(spark):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, waits = f"http://127.0.0.1:{server.server_port}", []
+    http = vectors.HttpEmbedder(url)
+    assert http.healthy() and http(["a", "bcd"]) == [[1.0, 1.0], [3.0, 1.0]] and Answers.seen[-1][1]["mode"] == "passage"
+    assert not vectors.HttpEmbedder("http://127.0.0.1:9").healthy()
+    api = vectors.ApiEmbedder(f"{url}/api", "k", "m", batch=2, sleep=waits.append)
+    assert api(["a", "bb", "ccc"]) == [[1.0], [2.0], [3.0]] and waits == [7.0, 0.1]
+    assert Answers.seen[-1][1] == {"model": "m", "input": ["ccc"]} and Answers.seen[-1][2] == "Bearer k"
+    with pytest.raises(vectors.EmbeddingError):
+        vectors.ApiEmbedder(f"{url}/bad", "k", "m", sleep=waits.append)(["a"])
+    c = spark.createDataFrame([("x", "words", None), ("y", "more words", None)], "id string, text string, preview string")
+    got = {r.id: r.vector for r in vectors.embed(c, lambda: vectors.HttpEmbedder(url)).collect()}
+    assert set(got) == {"x", "y"} and len(got["x"]) == 2
+    assert isinstance(vectors.query_embedder("server", url), vectors.HttpEmbedder) and vectors.query_embedder("api", url, "m", 0, "k").key == "k"
+    with pytest.raises(vectors.EmbeddingError):
+        vectors.query_embedder("api", url, "m")
+    server.shutdown()
+
+
+def test_hash_embedders_of_passages_and_queries():
+    passage, query = vectors.HashEmbedder(), vectors.HashEmbedder(query=True)
+    assert passage.words("passage: Foo.BarBaz x") == ["foo.barbaz", "x"] and query.words("BarBaz(x)") == ["barbaz", "bar", "baz", "x"]
+    assert query([""]) == [None] and abs(sum(x * x for x in query(["BarBaz"])[0]) - 1) < 1e-9
+
+
+def test_ids_that_begin_alike_are_numbered_in_order(spark):
+    ids = [f"xml:Thing:{i:04d}" for i in range(500)] + ["a", "z"]
+    df = spark.createDataFrame([(i, k % 7) for k, i in enumerate(ids)] * 2, "id string, o int").repartition(9)
+    got = sorted(map(tuple, graph.node_index(df).collect()))
+    assert got == list(enumerate(sorted(ids)))
+    by = sorted((k % 7, i) for k, i in enumerate(ids))
+    assert sorted(map(tuple, graph.node_index(df, order=("o",)).collect())) == [(n, i) for n, (_, i) in enumerate(by)]
+    assert graph.node_index(df.limit(0)).collect() == []
+
+
+def test_jaro_counts_whole_transpositions_and_is_symmetric():
+    from symgraph.functions.similarity import jaro, jaro_winkler_value
+
+    assert jaro("xml:region:1", "xml:nation:1")[0] == pytest.approx((9 / 12 + 9 / 12 + 8 / 9) / 3)
+    assert jaro("MARTHA", "MARHTA")[0] == pytest.approx(0.9444, abs=1e-4) and jaro("DIXON", "DICKSONX")[0] == jaro("DICKSONX", "DIXON")[0] == pytest.approx(0.7667, abs=1e-4)
+    assert jaro_winkler_value("abc", "abc") == 1 and jaro_winkler_value("MARTHA", "MARHTA", True) == pytest.approx(0.9611, abs=1e-4)
