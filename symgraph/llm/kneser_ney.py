@@ -1,9 +1,12 @@
 """Perplexity by an interpolated modified Kneser-Ney trigram model, counted by Spark and memory-mapped by the workers.
 
-Counting is one shuffle of packed, sorted arrays of trigrams (a, b, c) by the middle word b. Both bigrams of a trigram contain b, so
-the followers of (a, b) and the continuation count of (b, c), the number of different a, are complete within a bucket. The few
-words that are a large share of all are spread over several buckets by a; their bigrams' continuation counts add up.
-Entries that are kept go to files by key range: sorted 64-bit hashes with their counts, memory-mapped for look-up.
+Words are counted first: their sorted 64-bit hashes are files by hash range, and each word gets a number, frequent ones small numbers.
+Counting n-grams is one shuffle of packed, sorted arrays of trigrams (a, b, c) by the middle word b. Both bigrams of a trigram contain
+b, so the followers of (a, b) and the continuation count of (b, c), the number of different a, are complete within a bucket. Middle
+words that are a large share of a bucket are spread over all buckets by a, and their bigrams' continuation counts added up by (b, c).
+
+Each bucket is written where it is counted, without another shuffle: the sorted hashes of its contexts, and for each context its
+followers, in order, with their counts. A context is two numbers in 64 bits and its hash a permutation of these, so no two of them collide.
 """
 
 from __future__ import annotations
@@ -20,25 +23,180 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean, local_path, new_path, written
-from .textblock import U, Words, blocks, ints, mix
+from .shared import drop, lean, local_path, new_path, written
+from .textblock import U, Words, blocks, mix
+
+PAD, BOS, EOS, UNKNOWN = U(0), U(1), U(2), U(0xFFFFFFFF)
+LOW = U(0xFFFFFFFF)
+#: trigrams, or different words, gathered before they are packed; text bytes of a bucket and of a file of words; numbers of words in a file of unigrams or sums
+FLUSH, BUCKET_BYTES, WORD_BYTES, UNIGRAMS, SUMS = 1_000_000, 6 << 20, 64 << 20, 1 << 20, 1 << 10
+#: occurrences from which on (to the power of two below) a word is spread over all buckets
+HOT = 1 << 18
+#: files that a worker maps at once
+OPEN = 8192
+_TYPES = (np.uint64, np.int64, np.uint32, np.uint8)
+
+
+# files of arrays
+
+
+def save(path: str, arrays: list[np.ndarray]) -> None:
+    """A task that runs again writes the same under another name first."""
+    temporary = f"{path}.{uuid.uuid4().hex}"
+    with open(temporary, "wb") as out:
+        out.write(np.array([len(arrays), *(x for a in arrays for x in (_TYPES.index(a.dtype.type), len(a)))], np.int64).tobytes())
+        for a in arrays:
+            out.write(a.tobytes())
+            out.write(b"\0" * (-a.nbytes % 8))
+    os.replace(temporary, path)
+
+
+def mapped(path: str) -> list[np.ndarray]:
+    raw = np.asarray(np.memmap(path, np.uint8, "r"))
+    n = int(raw[:8].view(np.int64)[0])
+    at, out = 8 + 16 * n, []
+    for code, length in raw[8:at].view(np.int64).reshape(-1, 2).tolist():
+        size = length * np.dtype(_TYPES[code]).itemsize
+        out.append(raw[at : at + size].view(_TYPES[code]))
+        at += size + (-size % 8)
+    return out
+
+
+class Files:
+    """The model's files, mapped when they are asked for. It has no data, so it can be sent to any worker."""
+
+    folder: str
+
+    def file(self, kind: str, number: int) -> list[np.ndarray] | None:
+        have = self.__dict__.setdefault("_open", {})
+        if (kind, number) not in have:
+            if len(have) >= OPEN:
+                have.clear()
+            path = f"{self.folder}/{kind}-{number:07d}"
+            have[kind, number] = mapped(path) if os.path.exists(path) else None
+        return have[kind, number]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
+
+
+def stretches(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """From where to where equal numbers are in a row."""
+    if len(x):
+        at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        yield from zip(at.tolist(), np.append(at[1:], len(x)).tolist())
+
+
+def firsts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sums of their numbers."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    at = firsts(keys)
+    return keys[at], np.add.reduceat(n, at) if len(at) else n
+
+
+# words
+
+
+@dataclass
+class Vocabulary(Files):
+    folder: str
+    bits: int
+    words: int
+    hot: int  # numbers below belong to words that are spread
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, UNKNOWN for those that weren't counted."""
+        word, of_word = np.unique(hashes, return_inverse=True)
+        out = np.full(len(word), UNKNOWN, U)
+        file = _file(word, self.bits)
+        for i, j in stretches(file):
+            if (arrays := self.file("words", int(file[i]))) is not None:
+                known, rank, level = arrays
+                base = self.file("base", 0)[0].reshape(-1, 64)[int(file[i])]
+                at = np.minimum(np.searchsorted(known, word[i:j]), len(known) - 1)
+                hit = np.flatnonzero(known[at] == word[i:j])
+                out[i + hit] = base[level[at[hit]]].astype(U) + rank[at[hit]]
+        return out[of_word]
+
+
+def _file(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+
+
+def _count_words(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def rows(word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        z, file = zstandard.ZstdCompressor(level=1), _file(word, bits)
+        out = [(int(file[i]), z.compress(word[i:j].tobytes() + n[i:j].astype(U).view(np.uint8).reshape(-1, 8).T.tobytes())) for i, j in stretches(file)]
+        return pa.RecordBatch.from_arrays([pa.array([f for f, _ in out], pa.int64()), pa.array([p for _, p in out], pa.binary())], ["file", "payload"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for _, words in blocks(batches, "text"):
+            parts.append(np.unique(words.hashes, return_counts=True))
+            size += len(parts[-1][0])
+            if size >= FLUSH:
+                parts = [summed(*(np.concatenate(x) for x in zip(*parts)))]
+                size = len(parts[0][0])
+                if size >= FLUSH // 2:
+                    yield rows(*parts[0])
+                    parts, size = [], 0
+        if size:
+            yield rows(*summed(*(np.concatenate(x) for x in zip(*parts))))
+
+    return run
+
 
-PAD, BOS, EOS = U(0), U(1), U(2)
-#: words gathered before trigrams are packed; text bytes of a bucket; entries of a file
-FLUSH, BUCKET_BYTES, FILE_ENTRIES = 500_000, 6 << 20, 1_000_000
-#: documents that are looked at to see which words are to be spread (this only places work; counts are over all)
-SKEW_DOCUMENTS = 500
+def _number(folder: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One file of words: hashes, rank among those of the file that are about as frequent, and how frequent (0: most) by powers of two."""
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        raw = [np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.uint8).reshape(2, -1) for p in rows["payload"]]
+        word, n = summed(np.concatenate([x[0].view(U) for x in raw]), np.concatenate([np.ascontiguousarray(x[1].reshape(8, -1).T).view(U).ravel() for x in raw]))
+        level = 64 - np.frexp(n.astype(np.float64))[1]
+        size = np.bincount(level, minlength=64)
+        rank = np.empty(len(word), np.uint32)
+        rank[np.argsort(level, kind="stable")] = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+        file = int(rows["file"].iloc[0])
+        save(f"{folder}/words-{file:07d}", [word, rank, level.astype(np.uint8)])
+        return pd.DataFrame([(file, size.tolist(), np.bincount(level, n.astype(float), 64).astype(np.int64).tolist())], columns=["file", "words", "tokens"])
+
+    return run
 
-def padded(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """40-bit word ids of all texts with words, two marks before each and one after; the texts; where each begins, and the end of all."""
+
+def vocabulary(docs: DataFrame, n_bytes: int, folder: str) -> tuple[Vocabulary, int]:
+    """The words of all documents, numbered, and how many occurrences those that are spread have."""
+    bits = max(0, int(np.ceil(np.log2(max(1, n_bytes / WORD_BYTES)))))
+    packed = docs.mapInArrow(_count_words(bits), "file long, payload binary")
+    files = packed.groupBy("file").applyInPandas(_number(folder), "file long, words array<long>, tokens array<long>").collect()  # one for each file
+    size, tokens = np.zeros((1 << bits, 64), np.int64), np.zeros(64, np.int64)
+    for r in files:
+        size[r.file] = r.words
+        tokens += np.array(r.tokens, np.int64)
+    total = int(size.sum())
+    if total >= int(UNKNOWN) - 3:
+        raise ValueError(f"{total} different words; numbers of words have 32 bits")
+    before = np.cumsum(size.T.ravel()) - size.T.ravel()
+    save(f"{folder}/base-{0:07d}", [np.ascontiguousarray(before.reshape(64, -1).T + 3).ravel().astype(np.int64)])
+    level = 64 - HOT.bit_length()
+    return Vocabulary(folder, bits, total, 3 + int(size[:, : level + 1].sum())), int(tokens[: level + 1].sum())
+
+
+# trigrams
+
+
+def padded(words: Words, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' numbers, text by text, two marks before each text and one after; the texts that have words; where each begins, and the end of all."""
     texts = np.flatnonzero(words.counts)
     n = words.counts[texts]
     at = np.append(0, np.cumsum(n + 3))
     out = np.full(at[-1], EOS, U)
     out[at[:-1]], out[at[:-1] + 1] = PAD, BOS
-    place = np.arange(len(words.hashes)) + np.repeat(3 * np.arange(len(texts)) + 2, n)
-    out[place] = np.maximum(words.hashes >> U(24), U(3))
+    out[np.arange(len(numbers)) + np.repeat(3 * np.arange(len(texts)) + 2, n)] = numbers
     return out, texts, at
 
 
@@ -50,20 +208,18 @@ def trigrams(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return x[i - 2], x[i - 1], x[i], i
 
 
-def key(*ids: np.ndarray) -> np.ndarray:
-    h = np.full(len(ids[0]), len(ids), U)
-    for x in ids:
-        h = mix((h + U(1)) * U(0x9E3779B97F4A7C15) + x)
-    return h
-
-
-def _order(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.lexsort((((a & U(0xFFFF)) << U(40)) | c, (b << U(24)) | (a >> U(16))))
+def pair(b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (b << U(32)) | c
 
 
 def counted(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Different trigrams in the order of b, a, c with their summed counts."""
-    order = _order(a, b, c)
+    context = pair(b, a)
+    order = np.argsort(context)
+    rank = np.zeros(len(order), U)
+    if len(order):
+        rank[1:] = np.cumsum(context[order][1:] != context[order][:-1])
+    order = order[np.argsort((rank << U(32)) | c[order])]
     a, b, c, n = a[order], b[order], c[order], n[order]
     at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]))) if len(a) else np.zeros(0, np.int64)
     return a[at], b[at], c[at], np.add.reduceat(n, at) if len(at) else n
@@ -87,25 +243,23 @@ def unpack(payload: bytes) -> tuple[np.ndarray, ...]:
     return a, np.cumsum(db), c, n
 
 
-def _bucket(a: np.ndarray, b: np.ndarray, hot: np.ndarray, n_buckets: int) -> np.ndarray:
-    spread = np.isin(b, hot)
-    return (mix(b + np.where(spread, (mix(a) | U(1)) * U(0x9E3779B97F4A7C15), U(0))) % U(n_buckets)).astype(np.int32)
+def bucket(a: np.ndarray, b: np.ndarray, hot: int, n_buckets: int) -> np.ndarray:
+    return (mix(b + np.where(b < U(hot), (mix(a) | U(1)) * U(0x9E3779B97F4A7C15), U(0))) % U(n_buckets)).astype(np.int32)
 
 
-def _map(hot: np.ndarray, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _map(known: Vocabulary, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         a, b, c = (np.concatenate(x) for x in zip(*parts))
         a, b, c, n = counted(a, b, c, np.ones(len(a), U))
-        bucket = _bucket(a, b, hot, n_buckets)
-        order = np.argsort(bucket, kind="stable")
-        at = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
-        rows = [order[i:j] for i, j in zip(at, np.append(at[1:], len(order)))]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[[r[0] for r in rows]], pa.int32()), pa.array([pack(a[r], b[r], c[r], n[r]) for r in rows], pa.binary())], ["bucket", "payload"])
+        of = bucket(a, b, known.hot, n_buckets)
+        order = np.argsort(of, kind="stable")
+        rows = [order[i:j] for i, j in stretches(of[order])]
+        return pa.RecordBatch.from_arrays([pa.array(of[[r[0] for r in rows]], pa.int32()), pa.array([pack(a[r], b[r], c[r], n[r]) for r in rows], pa.binary())], ["bucket", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for _, words in blocks(batches, "text"):
-            x, _, at = padded(words)
+            x, _, at = padded(words, known.numbers(words.hashes))
             if len(x):
                 parts.append(trigrams(x, at)[:3])
                 size += len(parts[-1][0])
@@ -118,97 +272,140 @@ def _map(hot: np.ndarray, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def _sums(group: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted groups: where each begins; total, total kept, and how many kept ones have count 1, 2, and 3 or more."""
-    at = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+# contexts and their followers
+
+
+def narrow(x: np.ndarray) -> list[np.ndarray]:
+    """Bytes, 255 for what doesn't fit; the places and values of that."""
+    big = np.flatnonzero(x >= 255)
+    return [np.minimum(x, 255).astype(np.uint8), big.astype(np.uint32), x[big].astype(np.int64)]
+
+
+def widen(small: np.ndarray, big: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = small[at].astype(np.int64)
+    escaped = np.flatnonzero(out == 255)
+    if len(escaped):
+        out[escaped] = values[np.searchsorted(big, at[escaped])]
+    return out
+
+
+def sums_of(at: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
+    """Of groups that begin at `at`: total; how many kept ones have count 1, 2, and 3 or more; and, where any are left out, the total kept."""
     kept = n >= least
-    columns = (n, n * kept, (n == 1) & kept, (n == 2) & kept, (n >= 3) & kept)
-    return at, np.stack([np.add.reduceat(x.astype(np.int64), at) for x in columns], 1) if len(at) else np.zeros((0, 5), np.int64)
+    columns = [n, (n == 1) & kept, (n == 2) & kept, (n >= 3) & kept, *([n * kept] if least > 1 else [])]
+    return np.stack([np.add.reduceat(x.astype(np.int64), at) for x in columns], 1)
 
 
-def _entries(kind: str, keys: np.ndarray, values: np.ndarray, shift: int) -> list[tuple]:
-    """Rows kind, file, payload of keys (sorted here) with integer values, by key range."""
+def contexts(context: np.ndarray, c: np.ndarray, n: np.ndarray, least: int) -> list[np.ndarray]:
+    """A file's arrays of rows in the order of context and follower: hashes of contexts, where each one's kept followers begin, followers, their counts, the contexts' sums."""
+    first = firsts(context)
+    sums = sums_of(first, n, least)
+    keys = mix(context[first])
     order = np.argsort(keys)
-    keys, values = keys[order], values[order]
-    file = (keys >> U(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
-    at = np.flatnonzero(np.append(True, np.diff(file) != 0)) if len(keys) else []
-    z = zstandard.ZstdCompressor(level=1)
-    return [(kind, int(file[i]), z.compress(keys[i:j].tobytes() + np.ascontiguousarray(values[i:j].astype(np.int64)).tobytes()), int(j - i), [0] * 5) for i, j in zip(at, np.append(at[1:], len(keys)).astype(int))]
+    size = np.diff(np.append(first, len(context)))[order]
+    begin = np.cumsum(size) - size
+    rows = np.repeat(first[order] - begin, size) + np.arange(len(context))
+    kept = n[rows] >= least
+    starts = np.append(0, np.cumsum(np.add.reduceat(kept.astype(np.int64), begin)))
+    return [keys[order], starts.astype(np.uint32), c[rows][kept].astype(np.uint32), *narrow(n[rows][kept]), *narrow(sums[order].ravel())]
 
 
-def _classes(kind: str, n: np.ndarray) -> tuple:
-    return (kind, 0, b"", 0, [int((n == k).sum()) for k in (1, 2, 3, 4)] + [int(n.sum())])
+def within(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the wanted are in values[lo:hi], each of them sorted, and where."""
+    end, lo, hi = hi, lo.copy(), hi.copy()
+    active = np.flatnonzero(lo < hi)
+    while len(active):
+        mid = (lo[active] + hi[active]) >> 1
+        less = values[mid] < want[active]
+        lo[active[less]] = mid[less] + 1
+        hi[active[~less]] = mid[~less]
+        active = active[lo[active] < hi[active]]
+    some = np.flatnonzero(lo < end)
+    some = some[values[lo[some]] == want[some]]
+    return some, lo[some]
 
 
-ROWS = "kind string, file long, payload binary, n long, classes array<long>"
+ROWS = "kind string, file long, payload binary, classes array<long>"
+NONE = [0] * 5
 
 
-def _bigrams(b: np.ndarray, c: np.ndarray, n: np.ndarray, least: int, shift: int) -> list[tuple]:
-    """Rows of bigrams, sorted by b, c, with their full continuation counts."""
-    kept = n >= least
-    at, sums = _sums(b, n, least)
-    some = sums[:, 2:].sum(1) > 0
-    words, times = np.unique(c, return_counts=True)
-    return [*_entries("bi", key(b[kept], c[kept]), n[kept][:, None], shift), *_entries("by1", key(b[at][some]), sums[some], shift), *_entries("uni", words, times[:, None], shift - 24), _classes("bi", n)]
+def _row(kind: str, n: np.ndarray) -> tuple:
+    return (kind, 0, b"", [int((n == k).sum()) for k in (1, 2, 3, 4)] + [int(n.sum())])
+
 
+def _unigrams(c: np.ndarray) -> list[tuple]:
+    """How many different words each is after, here."""
+    word, times = np.unique(c, return_counts=True)
+    file = (word // U(UNIGRAMS)).astype(np.int64)
+    return [("uni", int(file[i]), pack(np.zeros(j - i, U), word[i:j], word[i:j], times[i:j].astype(U)), NONE) for i, j in stretches(file)]
 
-def _reduce(hot: np.ndarray, least: int, shift: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+
+def _reduce(folder: str, hot: int, n_hot: int, least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        number = int(rows["bucket"].iloc[0])
         a, b, c, n = counted(*(np.concatenate(x) for x in zip(*map(unpack, rows["payload"]))))
         n = n.astype(np.int64)
-        kept = n >= least
-        group = np.cumsum(np.append(False, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        at, sums = _sums(group, n, least)
-        some = sums[:, 2:].sum(1) > 0
-        out = [*_entries("tri", key(a[kept], b[kept], c[kept]), n[kept][:, None], shift), *_entries("by2", key(a[at][some], b[at][some]), sums[some], shift), _classes("tri", n)]
-        order = np.lexsort((c, b))
-        b, c = b[order], c[order]
-        first = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (c[1:] != c[:-1])))
-        times = np.diff(np.append(first, len(b)))
-        b, c = b[first], c[first]
-        spread = np.isin(b, hot)
-        out += _bigrams(b[~spread], c[~spread], times[~spread], least, shift)
-        for word in np.unique(b[spread]):
-            mine = b == word
-            out.append(("hot", int(word), pack(np.zeros(mine.sum(), U), c[mine], c[mine], times[mine].astype(U)), 0, [0] * 5))
-        return pd.DataFrame(out, columns=["kind", "file", "payload", "n", "classes"])
+        save(f"{folder}/tri-{number:07d}", contexts(pair(b, a), c, n, least))
+        out = [_row("tri", n)]
+        both = np.sort(pair(b, c))
+        at = firsts(both)
+        times = np.diff(np.append(at, len(both)))
+        both = both[at]
+        cut = int(np.searchsorted(both, U(hot) << U(32)))
+        b, c, times, spread, spread_times = both[cut:] >> U(32), both[cut:] & LOW, times[cut:], both[:cut], times[:cut]
+        if len(b):
+            save(f"{folder}/bi-{number:07d}", contexts(b, c, times, least))
+            out += [_row("bi", times), *_unigrams(c)]
+        file = (mix(spread) % U(n_hot)).astype(np.int64)
+        order = np.argsort(file, kind="stable")
+        for i, j in stretches(file[order]):
+            mine = order[i:j]
+            out.append(("hot", int(file[mine[0]]), pack(np.zeros(j - i, U), spread[mine] >> U(32), spread[mine] & LOW, spread_times[mine].astype(U)), NONE))
+        return pd.DataFrame(out, columns=["kind", "file", "payload", "classes"])
 
     return run
 
 
-def _reduce_hot(least: int, shift: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _reduce_hot(folder: str, least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Bigrams of spread words: their continuation counts, and the part of their contexts' sums that is here."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        _, c, _, n = (np.concatenate(x) for x in zip(*map(unpack, rows["payload"])))
-        words, at = np.unique(c, return_inverse=True)
-        times = np.bincount(at, weights=n.astype(float)).astype(np.int64)
-        return pd.DataFrame(_bigrams(np.full(len(words), rows["file"].iloc[0], U), words, times, least, shift), columns=["kind", "file", "payload", "n", "classes"])
+        _, b, c, n = (np.concatenate(x) for x in zip(*map(unpack, rows["payload"])))
+        both, n = summed(pair(b, c), n.astype(np.int64))
+        b, c = both >> U(32), both & LOW
+        save(f"{folder}/hot-{int(rows['file'].iloc[0]):07d}", contexts(b, c, n, least))
+        at = firsts(b)
+        word, sums = b[at], sums_of(at, n, least)
+        file = (word // U(SUMS)).astype(np.int64)
+        z = zstandard.ZstdCompressor(level=1)
+        out = [_row("bi", n), *_unigrams(c), *(("sums", int(file[i]), z.compress(word[i:j].tobytes() + sums[i:j].tobytes()), NONE) for i, j in stretches(file))]
+        return pd.DataFrame(out, columns=["kind", "file", "payload", "classes"])
 
     return run
 
 
-def _write(folder: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """One file of the model: keys, then a column of values for each of theirs. A task that runs again writes the same under another name first."""
+def _add_sums(folder: str, columns: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        file, out = int(rows["file"].iloc[0]), np.zeros((SUMS, columns), np.int64)
+        for p in rows["payload"]:
+            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.int64)
+            n = len(raw) // (columns + 1)
+            out[raw[:n] - file * SUMS] += raw[n:].reshape(n, columns)
+        save(f"{folder}/sums-{file:07d}", [out.ravel()])
+        return pd.DataFrame([(0, NONE)], columns=["words", "classes"])
+
+    return run
 
+
+def _add_unigrams(folder: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kind, file = rows["kind"].iloc[0], int(rows["file"].iloc[0])
-        z = zstandard.ZstdDecompressor()
-        raw = [(z.decompress(p), n) for p, n in zip(rows["payload"], rows["n"])]
-        keys = np.concatenate([np.frombuffer(r, U, n) for r, n in raw])
-        values = np.concatenate([np.frombuffer(r, np.int64, offset=8 * n).reshape(n, -1) for r, n in raw])
-        order = np.argsort(keys, kind="stable")
-        keys, values = keys[order], values[order]
-        classes = [0] * 5
-        if kind == "uni":  # partial sums of several buckets
-            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            keys, values = keys[at], np.add.reduceat(values, at)
-            classes = [int((values == k).sum()) for k in (1, 2, 3, 4)] + [int(values.sum())]
-        name = f"{folder}/{kind}-{file:06d}"
-        for suffix, array in (("keys", keys), ("values", values.astype(np.min_scalar_type(values.max(initial=0))))):
-            temporary = f"{name}.{uuid.uuid4().hex}"
-            with open(temporary, "wb") as out:
-                np.save(out, array)
-            os.replace(temporary, f"{name}.{suffix}.npy")
-        return pd.DataFrame([(kind, file, len(keys), classes)], columns=["kind", "file", "n", "classes"])
+        file, out = int(rows["file"].iloc[0]), np.zeros(UNIGRAMS, np.int64)
+        for p in rows["payload"]:
+            _, word, _, n = unpack(p)
+            out[word.astype(np.int64) - file * UNIGRAMS] += n.astype(np.int64)
+        out = out[: int(np.flatnonzero(out)[-1]) + 1]
+        save(f"{folder}/uni-{file:07d}", [out])
+        return pd.DataFrame([(int((out > 0).sum()), _row("uni", out)[3])], columns=["words", "classes"])
 
     return run
 
@@ -223,87 +420,84 @@ def discounts(classes: list[int]) -> tuple[float, float, float]:
 
 
 @dataclass
-class Model:
-    """Where the files are, which there are, and the discounts of each order. It has no data, so it can be sent to any worker."""
+class Model(Files):
+    """Where the files are, the discounts of each order, and the unigrams' totals."""
 
     folder: str
-    shift: int
-    files: dict[str, list[int]]
+    known: Vocabulary
+    n_buckets: int
+    n_hot: int
+    columns: int
     d: dict[str, tuple[float, float, float]]
     words: int
     bigrams: int
-
-    def look(self, kind: str, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is there, and its values (0 if not). Keys are sorted first, so that the mapped pages are read in order."""
-        shift = self.shift if kind != "uni" else self.shift - 24
-        order = np.argsort(keys)
-        asked = keys[order]
-        there, values = np.zeros(len(keys), bool), np.zeros((len(keys), width), np.float64)
-        file = (asked >> U(shift)).astype(np.int64) if shift < 64 else np.zeros(len(asked), np.int64)
-        at = np.flatnonzero(np.append(True, np.diff(file) != 0)) if len(asked) else []
-        for i, j in zip(at, np.append(at[1:], len(asked)).astype(int)):
-            if int(file[i]) in self._have(kind):
-                k, v = self._map(kind, int(file[i]))
-                place = np.minimum(np.searchsorted(k, asked[i:j]), len(k) - 1)
-                hit = k[place] == asked[i:j]
-                there[order[i:j]] = hit
-                values[order[i:j][hit]] = v[place[hit]]
-        return there, values
-
-    def _have(self, kind: str) -> set[int]:
-        return self.__dict__.setdefault("_sets", {}).setdefault(kind, set(self.files.get(kind, ())))
-
-    def _map(self, kind: str, file: int) -> tuple[np.ndarray, np.ndarray]:
-        open_ = self.__dict__.setdefault("_open", {})
-        if (kind, file) not in open_:
-            open_[kind, file] = tuple(np.load(f"{self.folder}/{kind}-{file:06d}.{s}.npy", mmap_mode="r") for s in ("keys", "values"))
-        return open_[kind, file]
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
+    unigram_classes: tuple[int, int, int]
+
+    def look(self, kind: str, file: np.ndarray, key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The count of each follower of its context and the context's sums, 0 where there are none. Look-ups are in the files' order, so that mapped pages are read in order."""
+        order = np.argsort((file.astype(U) << U(40)) | (key >> U(24)))
+        count, sums = np.zeros(len(key), np.int64), np.zeros((len(key), self.columns), np.int64)
+        asked = file[order]
+        for i, j in stretches(asked):
+            arrays = self.file(kind, int(asked[i]))
+            if arrays is None:
+                continue
+            keys, starts, followers, small, big, values, *of_sums = arrays
+            mine = order[i:j]
+            at = np.minimum(np.searchsorted(keys, key[mine]), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == key[mine])
+            mine, at = mine[hit], at[hit]
+            some, place = within(followers, starts[at].astype(np.int64), starts[at + 1].astype(np.int64), c[mine].astype(np.uint32))
+            count[mine[some]] = widen(small, big, values, place)
+            sums[mine] = widen(*of_sums, (at[:, None] * self.columns + np.arange(self.columns)).ravel()).reshape(-1, self.columns)
+        return count, sums
+
+    def _dense(self, kind: str, number: np.ndarray, each: int, columns: int) -> np.ndarray:
+        """Rows of arrays in which a word's number is the place."""
+        out = np.zeros((len(number), columns), np.int64)
+        file = (number // U(each)).astype(np.int64)
+        order = np.argsort(file, kind="stable")
+        for i, j in stretches(file[order]):
+            arrays = self.file(kind, int(file[order[i]]))
+            if arrays is not None:
+                mine, rows = order[i:j], arrays[0].reshape(-1, columns)
+                place = (number[mine] % U(each)).astype(np.int64)
+                there = place < len(rows)
+                out[mine[there]] = rows[place[there]]
+        return out
 
     def _discounted(self, order: str, n: np.ndarray) -> np.ndarray:
         d = np.array([0.0, *self.d[order]])
-        return n - d[np.minimum(n, 3).astype(int)]
+        return n - d[np.minimum(n, 3)]
 
     def _left(self, order: str, sums: np.ndarray) -> np.ndarray:
         """The share of a context's mass that its kept followers leave; all of it for a context without any."""
         d = self.d[order]
-        given = sums[:, 1] - sums[:, 2] * d[0] - sums[:, 3] * d[1] - sums[:, 4] * d[2]
+        given = sums[:, -1 if self.columns > 4 else 0] - sums[:, 1] * d[0] - sums[:, 2] * d[1] - sums[:, 3] * d[2]
         return np.where(sums[:, 0] > 0, 1 - given / np.maximum(sums[:, 0], 1), 1.0)
 
     def log_probability(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         """ln p(c | a, b)."""
-        word, of_word = np.unique(np.concatenate([b, c]), return_inverse=True)
-        m = len(b)
-        _, u = self.look("uni", word, 1)
-        kinds = np.array(self.d["uni"])
-        given = self._uniform(kinds)
-        p1 = np.where(u[:, 0] > 0, self._discounted("uni", u[:, 0]) / max(self.bigrams, 1), 0) + given / (self.words + 1)
-        _, s1 = self.look("by1", key(word), 5)
-        left1 = self._left("bi", s1)
-        pair, of_pair = np.unique(key(b, c), return_inverse=True)
-        _, n2 = self.look("bi", pair, 1)
-        n2, total1 = n2[of_pair, 0], np.maximum(s1[of_word[:m], 0], 1)
-        p2 = np.where(n2 > 0, self._discounted("bi", n2) / total1, 0) + left1[of_word[:m]] * p1[of_word[m:]]
-        context, of_context = np.unique(key(a, b), return_inverse=True)
-        _, s2 = self.look("by2", context, 5)
-        _, n3 = self.look("tri", key(a, b, c), 1)
-        n3, s2 = n3[:, 0], s2
-        left2 = self._left("tri", s2)[of_context]
-        p3 = np.where(n3 > 0, self._discounted("tri", n3) / np.maximum(s2[of_context, 0], 1), 0) + left2 * p2
-        return np.log(p3)
-
-    def _uniform(self, d: np.ndarray) -> float:
-        """The unigrams' discounted mass."""
         n1, n2, more = self.unigram_classes
-        return (n1 * d[0] + n2 * d[1] + more * d[2]) / max(self.bigrams, 1) if self.bigrams else 1.0
-
-    unigram_classes: tuple[int, int, int] = (0, 0, 0)
-
-
-def train(docs: DataFrame, min_count: int = 2, text_col: str = "text") -> Model:
-    """Count all documents. Trigrams, and bigrams by their continuation count, are kept from ``min_count`` on; all unigrams are.
+        d = self.d["uni"]
+        given = (n1 * d[0] + n2 * d[1] + more * d[2]) / self.bigrams if self.bigrams else 1.0
+        n = self._dense("uni", c, UNIGRAMS, 1)[:, 0]
+        p = np.where(n > 0, self._discounted("uni", n) / max(self.bigrams, 1), 0) + given / (self.words + 1)
+        n, sums = np.zeros(len(b), np.int64), np.zeros((len(b), self.columns), np.int64)
+        hot = b < U(self.known.hot)
+        cold = np.flatnonzero(~hot)
+        n[cold], sums[cold] = self.look("bi", bucket(b[cold], b[cold], self.known.hot, self.n_buckets), mix(b[cold]), c[cold])
+        hot = np.flatnonzero(hot)
+        n[hot], _ = self.look("hot", (mix(pair(b[hot], c[hot])) % U(self.n_hot)).astype(np.int64), mix(b[hot]), c[hot])
+        sums[hot] = self._dense("sums", b[hot], SUMS, self.columns)
+        p = np.where(n > 0, self._discounted("bi", n) / np.maximum(sums[:, 0], 1), 0) + self._left("bi", sums) * p
+        n, sums = self.look("tri", bucket(a, b, self.known.hot, self.n_buckets), mix(pair(b, a)), c)
+        p = np.where(n > 0, self._discounted("tri", n) / np.maximum(sums[:, 0], 1), 0) + self._left("tri", sums) * p
+        return np.log(p)
+
+
+def train(docs: DataFrame, min_count: int = 1, text_col: str = "text") -> Model:
+    """Count all documents. Trigrams, and bigrams by their continuation count, are kept from ``min_count`` on (1: all); all unigrams are.
 
     Counts of counts, totals and the mass that a context leaves to the shorter one are over all n-grams, kept or not.
     """
@@ -314,55 +508,52 @@ def train(docs: DataFrame, min_count: int = 2, text_col: str = "text") -> Model:
     docs = docs.select(F.lower(F.col(text_col).cast("string")).alias("text")).where("text IS NOT NULL")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(4, -(-n_bytes // BUCKET_BYTES))
-    seen = np.concatenate([np.zeros(0, U), *(w.hashes >> U(24) for _, w in blocks(docs.limit(SKEW_DOCUMENTS).toArrow().to_batches(), "text"))])
-    word, times = np.unique(np.append(np.maximum(seen, U(3)), BOS), return_counts=True)
-    hot = np.union1d(word[times > max(1 / (4 * n_buckets), 1 / 16384) * len(seen)], [BOS])
-    bits = max(0, int(np.ceil(np.log2(max(1, n_bytes / 6 / FILE_ENTRIES / 4)))))
-    shift = 64 - bits
-    folder = new_path(spark, "ngrams")
-    path = local_path(folder)
-    os.makedirs(path)
-    packed = docs.mapInArrow(_map(hot, n_buckets), "bucket int, payload binary")
-    first = written(packed.groupBy("bucket").applyInPandas(_reduce(hot, min_count, shift), ROWS), "ngram-parts")
-    second = first.where("kind = 'hot'").groupBy("file").applyInPandas(_reduce_hot(min_count, shift), ROWS)
-    parts = first.where("kind <> 'hot'").unionByName(written(second, "hot-ngrams"))
-    classes = {r.kind: list(r.c) for r in parts.where("n = 0 AND length(payload) = 0").groupBy("kind").agg(F.array(*(F.sum(F.col("classes")[i]) for i in range(5))).alias("c")).collect()}
-    files = parts.where("n > 0").groupBy("kind", "file").applyInPandas(_write(path), "kind string, file long, n long, classes array<long>").collect()
-    have: dict[str, list[int]] = {}
-    for r in files:
-        have.setdefault(r.kind, []).append(r.file)
-    uni = [sum(r.classes[i] for r in files if r.kind == "uni") for i in range(5)]
-    words = sum(r.n for r in files if r.kind == "uni")
-    model = Model(path, shift, have, {k: discounts(classes.get(k, [0] * 5)) for k in ("tri", "bi")} | {"uni": discounts(uni)}, words, uni[4])
-    model.unigram_classes = (uni[0], uni[1], words - uni[0] - uni[1])
-    return model
+    folder = local_path(new_path(spark, "ngrams"))
+    os.makedirs(folder)
+    known, hot_tokens = vocabulary(docs, n_bytes, folder)
+    n_hot = max(1, hot_tokens * 6 // BUCKET_BYTES)
+    packed = docs.mapInArrow(_map(known, n_buckets), "bucket int, payload binary")
+    first = written(packed.groupBy("bucket").applyInPandas(_reduce(folder, known.hot, n_hot, min_count), ROWS), "ngram-parts")
+    second = written(first.where("kind = 'hot'").groupBy("file").applyInPandas(_reduce_hot(folder, min_count), ROWS), "hot-ngrams")
+    parts, columns = first.where("kind <> 'hot'").unionByName(second), 4 + (min_count > 1)
+    classes = {r.kind: list(r.c) for r in parts.where("kind IN ('tri', 'bi')").groupBy("kind").agg(F.array(*(F.sum(F.col("classes")[i]) for i in range(5))).alias("c")).collect()}
+    schema = "words long, classes array<long>"
+    parts.where("kind = 'sums'").groupBy("file").applyInPandas(_add_sums(folder, columns), schema).count()
+    uni = parts.where("kind = 'uni'").groupBy("file").applyInPandas(_add_unigrams(folder), schema)
+    uni = uni.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.array(*(F.coalesce(F.sum(F.col("classes")[i]), F.lit(0)) for i in range(5))).alias("classes")).first()
+    drop(first)
+    drop(second)
+    n1, n2, _, _, bigrams = uni.classes
+    d = {k: discounts(classes.get(k, NONE)) for k in ("tri", "bi")} | {"uni": discounts(list(uni.classes))}
+    return Model(folder, known, n_buckets, n_hot, columns, d, uni.words, bigrams, (n1, n2, uni.words - n1 - n2))
 
 
 def perplexity(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_words, log_prob (natural, with the end mark), perplexity of each row; both null for a text without words."""
+    """doc_id, n_words, log_prob (natural, a word, the end mark counted as one), total_log_prob, perplexity of each row; null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, words in blocks(batches, "text"):
-            x, texts, at = padded(words)
+        for batch, words in blocks(batches, "text", 1 << 22):
+            x, texts, at = padded(words, model.known.numbers(words.hashes))
             total = np.full(batch.num_rows, np.nan)
             if len(x):
                 a, b, c, i = trigrams(x, at)
                 total[texts] = np.add.reduceat(model.log_probability(a, b, c), np.searchsorted(i, at[:-1]))
             none = np.isnan(total)
+            mean = total / (words.counts + 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id")), pa.array(words.counts.astype(np.int64)), pa.array(total, mask=none), pa.array(np.exp(-total / (words.counts + 1)), mask=none)], ["doc_id", "n_words", "log_prob", "perplexity"]
+                [batch.column(batch.schema.get_field_index("doc_id")), pa.array(words.counts.astype(np.int64)), pa.array(mean, mask=none), pa.array(total, mask=none), pa.array(np.exp(-mean), mask=none)], ["doc_id", "n_words", "log_prob", "total_log_prob", "perplexity"]
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, log_prob double, perplexity double")
+    return rows.mapInArrow(run, "doc_id long, n_words long, log_prob double, total_log_prob double, perplexity double")
 
 
-def lm_scores(docs: DataFrame, min_count: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The perplexity of every document by a trigram model of all of them: doc_id, n_words, log_prob, perplexity.
+def lm_scores(docs: DataFrame, min_count: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The perplexity of every document by a trigram model of all of them: doc_id, n_words, log_prob (a word), total_log_prob, perplexity.
 
-    One row for each input row, in whole texts (lower case, words split at ASCII blanks). Null or empty texts, and those without
-    words, have null log_prob and perplexity and add nothing to the counts; null ids stay null; repeated rows are counted and
-    scored each. Other columns are ignored, whatever their names. An empty table gives no rows. The shared folder
-    (spark.checkpoint.dir) has to be mounted on all hosts, as the model's files are memory-mapped there.
+    One row for each input row, in whole texts (lower case, words split at ASCII blanks, compared by 64-bit hashes). Null or empty
+    texts, and those without words, have null scores and add nothing to the counts; null ids stay null; repeated rows are counted and
+    scored each. Texts of any length are read whole. Other columns are ignored, whatever their names. An empty table gives no rows. The shared
+    folder (spark.checkpoint.dir) has to be mounted on all hosts, as the model's files are memory-mapped there. 2**32 different words or more are an error.
     """
     return perplexity(docs, train(docs, min_count, text_col), text_col, id_col)
