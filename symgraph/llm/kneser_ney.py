@@ -6,7 +6,7 @@ b, so the followers of (a, b) and the continuation count of (b, c), the number o
 words that are a large share of a bucket are spread over all buckets by a, and their bigrams' continuation counts added up by (b, c).
 
 Each bucket is written where it is counted, without another shuffle: the sorted hashes of its contexts, and for each context its
-followers, in order, with their counts. A context is two numbers in 64 bits and its hash a permutation of these, so no two of them collide.
+followers, in order, with their counts. Most contexts have one follower; these are apart, with no more than that. A context is two numbers in 64 bits and its hash a permutation of these, so no two of them collide.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from .textblock import U, Words, blocks, mix
 PAD, BOS, EOS, UNKNOWN = U(0), U(1), U(2), U(0xFFFFFFFF)
 LOW = U(0xFFFFFFFF)
 #: trigrams, or different words, gathered before they are packed; text bytes of a bucket and of a file of words; numbers of words in a file of unigrams or sums
-FLUSH, BUCKET_BYTES, WORD_BYTES, UNIGRAMS, SUMS = 1_000_000, 6 << 20, 64 << 20, 1 << 20, 1 << 10
+FLUSH, BUCKET_BYTES, WORD_BYTES, UNIGRAMS, SUMS = 1_000_000, 16 << 20, 64 << 20, 1 << 20, 1 << 10
 #: occurrences from which on (to the power of two below) a word is spread over all buckets
 HOT = 1 << 18
 #: files that a worker maps at once
@@ -297,32 +297,43 @@ def sums_of(at: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
 
 
 def contexts(context: np.ndarray, c: np.ndarray, n: np.ndarray, least: int) -> list[np.ndarray]:
-    """A file's arrays of rows in the order of context and follower: hashes of contexts, where each one's kept followers begin, followers, their counts, the contexts' sums."""
+    """A file's arrays of rows in the order of context and follower. Contexts with one follower: hashes, followers, counts. Others: hashes, where each one's kept followers begin, followers, counts, the contexts' sums."""
     first = firsts(context)
-    sums = sums_of(first, n, least)
+    size = np.diff(np.append(first, len(context)))
     keys = mix(context[first])
     order = np.argsort(keys)
-    size = np.diff(np.append(first, len(context)))[order]
+    one = order[size[order] == 1]
+    one = one[n[first[one]] >= least]
+    out = [keys[one], c[first[one]].astype(np.uint32), *narrow(n[first[one]])]
+    order = order[size[order] > 1]
+    if not len(order):
+        none = np.zeros(0, np.int64)
+        return [*out, keys[order], np.zeros(1, np.uint32), none.astype(np.uint32), *narrow(none), *narrow(none)]
+    sums = sums_of(first, n, least)[order]
+    size = size[order]
     begin = np.cumsum(size) - size
-    rows = np.repeat(first[order] - begin, size) + np.arange(len(context))
+    rows = np.repeat(first[order] - begin, size) + np.arange(size.sum())
     kept = n[rows] >= least
     starts = np.append(0, np.cumsum(np.add.reduceat(kept.astype(np.int64), begin)))
-    return [keys[order], starts.astype(np.uint32), c[rows][kept].astype(np.uint32), *narrow(n[rows][kept]), *narrow(sums[order].ravel())]
+    return [*out, keys[order], starts.astype(np.uint32), c[rows][kept].astype(np.uint32), *narrow(n[rows][kept]), *narrow(sums.ravel())]
 
 
 def within(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the wanted are in values[lo:hi], each of them sorted, and where."""
-    end, lo, hi = hi, lo.copy(), hi.copy()
-    active = np.flatnonzero(lo < hi)
-    while len(active):
-        mid = (lo[active] + hi[active]) >> 1
-        less = values[mid] < want[active]
-        lo[active[less]] = mid[less] + 1
-        hi[active[~less]] = mid[~less]
-        active = active[lo[active] < hi[active]]
-    some = np.flatnonzero(lo < end)
-    some = some[values[lo[some]] == want[some]]
-    return some, lo[some]
+    """Which of the wanted are in values[lo:hi], each of them sorted, and where: binary searches side by side, short and long stretches apart."""
+    size, at = hi - lo, lo.copy()
+    for least, most in ((1, 8), (9, np.iinfo(np.int64).max)):
+        of = np.flatnonzero((size >= least) & (size <= most))
+        if not len(of):
+            continue
+        base, left, x = lo[of], size[of], want[of]
+        while left.max() > 1:
+            half = left >> 1  # 0 where the search is over, so that what is read there doesn't matter
+            base += half * (values[base + half - 1] < x)
+            left -= half
+        at[of] = base + (values[base] < x)
+    some = np.flatnonzero(at < hi)
+    some = some[values[at[some]] == want[some]]
+    return some, at[some]
 
 
 ROWS = "kind string, file long, payload binary, classes array<long>"
@@ -433,24 +444,40 @@ class Model(Files):
     bigrams: int
     unigram_classes: tuple[int, int, int]
 
-    def look(self, kind: str, file: np.ndarray, key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The count of each follower of its context and the context's sums, 0 where there are none. Look-ups are in the files' order, so that mapped pages are read in order."""
+    def look(self, kind: str, level: str, file: np.ndarray, key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The count of each follower of its context (0: none), the context's total (1) and the share of its mass that its kept followers leave (1).
+
+        Look-ups are in the files' order, so that mapped pages are read in order.
+        """
         order = np.argsort((file.astype(U) << U(40)) | (key >> U(24)))
-        count, sums = np.zeros(len(key), np.int64), np.zeros((len(key), self.columns), np.int64)
-        asked = file[order]
+        asked, key, c = file[order], key[order], c[order].astype(np.uint32)
+        count, total, left = np.zeros(len(key), np.int64), np.ones(len(key)), np.ones(len(key))
+        d = np.array([0.0, *self.d[level]])
         for i, j in stretches(asked):
             arrays = self.file(kind, int(asked[i]))
             if arrays is None:
                 continue
-            keys, starts, followers, small, big, values, *of_sums = arrays
-            mine = order[i:j]
-            at = np.minimum(np.searchsorted(keys, key[mine]), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == key[mine])
-            mine, at = mine[hit], at[hit]
-            some, place = within(followers, starts[at].astype(np.int64), starts[at + 1].astype(np.int64), c[mine].astype(np.uint32))
-            count[mine[some]] = widen(small, big, values, place)
-            sums[mine] = widen(*of_sums, (at[:, None] * self.columns + np.arange(self.columns)).ravel()).reshape(-1, self.columns)
-        return count, sums
+            (known, follower, *counts), (keys, starts, followers, *many), of_sums = arrays[:5], arrays[5:11], arrays[11:]
+            rest = np.arange(i, j)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, key[i:j]), len(known) - 1)
+                hit = known[at] == key[i:j]
+                mine, at, rest = i + np.flatnonzero(hit), at[hit], i + np.flatnonzero(~hit)
+                n = widen(*counts, at)
+                total[mine], left[mine] = n, d[np.minimum(n, 3)] / n
+                count[mine] = n * (follower[at] == c[mine])
+            if len(keys) and len(rest):
+                at = np.minimum(np.searchsorted(keys, key[rest]), len(keys) - 1)
+                hit = keys[at] == key[rest]
+                mine, at = rest[hit], at[hit]
+                some, place = within(followers, starts[at].astype(np.int64), starts[at + 1].astype(np.int64), c[mine])
+                count[mine[some]] = widen(*many, place)
+                if kind != "hot":  # where the sums are in parts
+                    sums = [widen(*of_sums, at * self.columns + k) for k in range(self.columns)]
+                    total[mine], left[mine] = sums[0], self._left(level, *sums)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return count[back], total[back], left[back]
 
     def _dense(self, kind: str, number: np.ndarray, each: int, columns: int) -> np.ndarray:
         """Rows of arrays in which a word's number is the place."""
@@ -470,11 +497,11 @@ class Model(Files):
         d = np.array([0.0, *self.d[order]])
         return n - d[np.minimum(n, 3)]
 
-    def _left(self, order: str, sums: np.ndarray) -> np.ndarray:
-        """The share of a context's mass that its kept followers leave; all of it for a context without any."""
-        d = self.d[order]
-        given = sums[:, -1 if self.columns > 4 else 0] - sums[:, 1] * d[0] - sums[:, 2] * d[1] - sums[:, 3] * d[2]
-        return np.where(sums[:, 0] > 0, 1 - given / np.maximum(sums[:, 0], 1), 1.0)
+    def _left(self, level: str, total: np.ndarray, n1: np.ndarray, n2: np.ndarray, more: np.ndarray, kept: np.ndarray | None = None) -> np.ndarray:
+        """The share of contexts' mass that their kept followers leave."""
+        d = self.d[level]
+        given = (total if kept is None else kept) - n1 * d[0] - n2 * d[1] - more * d[2]
+        return 1 - given / np.maximum(total, 1)
 
     def log_probability(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         """ln p(c | a, b)."""
@@ -483,16 +510,17 @@ class Model(Files):
         given = (n1 * d[0] + n2 * d[1] + more * d[2]) / self.bigrams if self.bigrams else 1.0
         n = self._dense("uni", c, UNIGRAMS, 1)[:, 0]
         p = np.where(n > 0, self._discounted("uni", n) / max(self.bigrams, 1), 0) + given / (self.words + 1)
-        n, sums = np.zeros(len(b), np.int64), np.zeros((len(b), self.columns), np.int64)
+        n, total, left = np.zeros(len(b), np.int64), np.ones(len(b)), np.ones(len(b))
         hot = b < U(self.known.hot)
-        cold = np.flatnonzero(~hot)
-        n[cold], sums[cold] = self.look("bi", bucket(b[cold], b[cold], self.known.hot, self.n_buckets), mix(b[cold]), c[cold])
-        hot = np.flatnonzero(hot)
-        n[hot], _ = self.look("hot", (mix(pair(b[hot], c[hot])) % U(self.n_hot)).astype(np.int64), mix(b[hot]), c[hot])
-        sums[hot] = self._dense("sums", b[hot], SUMS, self.columns)
-        p = np.where(n > 0, self._discounted("bi", n) / np.maximum(sums[:, 0], 1), 0) + self._left("bi", sums) * p
-        n, sums = self.look("tri", bucket(a, b, self.known.hot, self.n_buckets), mix(pair(b, a)), c)
-        p = np.where(n > 0, self._discounted("tri", n) / np.maximum(sums[:, 0], 1), 0) + self._left("tri", sums) * p
+        cold, hot = np.flatnonzero(~hot), np.flatnonzero(hot)
+        n[cold], total[cold], left[cold] = self.look("bi", "bi", bucket(b[cold], b[cold], self.known.hot, self.n_buckets), mix(b[cold]), c[cold])
+        n[hot], _, _ = self.look("hot", "bi", (mix(pair(b[hot], c[hot])) % U(self.n_hot)).astype(np.int64), mix(b[hot]), c[hot])
+        sums = self._dense("sums", b[hot], SUMS, self.columns).T
+        total[hot], left[hot] = np.maximum(sums[0], 1), self._left("bi", *sums)
+        left[hot[sums[0] == 0]] = 1
+        p = np.where(n > 0, self._discounted("bi", n) / total, 0) + left * p
+        n, total, left = self.look("tri", "tri", bucket(a, b, self.known.hot, self.n_buckets), mix(pair(b, a)), c)
+        p = np.where(n > 0, self._discounted("tri", n) / total, 0) + left * p
         return np.log(p)
 
 
