@@ -3,7 +3,8 @@
 Documents with the same words are one from the start. In each bucket of equal bands every document is compared with the
 bucket's least id (a star, so a bucket of n costs n comparisons). A document that turns out not to be similar to it is then
 compared with all others of the bucket that no chain of similar documents connects it with yet; two documents that both
-passed are connected already. So groups are those that comparing all pairs of each bucket would give, at any bucket size,
+passed are connected already. These comparisons are made between blocks of short signatures, a row for each document and
+block, and only pairs that the posterior doesn't drop become rows. So groups are those that comparing all pairs of each bucket would give, at any bucket size,
 without a cap.
 
 A comparison reads the two signatures a batch of hashes at a time. With m of n hashes equal so far and a uniform prior, the
@@ -28,6 +29,8 @@ from .textblock import U, Words, blocks, grams, ints, mix, signed, spans, split
 BANDS, ROWS, BATCH = 36, 4, 16
 #: bytes of text that a verification task takes at once, and that a group may have before it is salted
 SHARD_BYTES, SALT_BYTES = 4 << 20, 2 << 20
+#: hashes of a short signature (a byte of each), documents of a block, rows of a task and pairs that are compared at a time
+SHORT, BLOCK, SHARD_ROWS, PAIRS = 64, 1024, 50_000, 1 << 20
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +66,10 @@ def _sketch(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             some = np.flatnonzero(np.diff(offsets))
             if not len(some):
                 continue
-            signature = signatures(values, np.append(offsets[some], len(values)), 0, BANDS * ROWS).astype(U)
+            signature = signatures(values, np.append(offsets[some], len(values)), 0, BANDS * ROWS)
+            short = np.ascontiguousarray(signature[:, :SHORT].astype(np.uint8))
+            short = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.arange(0, short.size + 1, SHORT, dtype=np.int32)), pa.py_buffer(short)])
+            signature = signature.astype(U)
             band = np.zeros((len(some), BANDS), U)
             for r in range(ROWS):
                 band = mix(band ^ signature[:, r::ROWS]) + U(r)
@@ -71,8 +77,8 @@ def _sketch(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             same = spans(words.hashes, words.offsets[some], words.offsets[some + 1])
             begin = np.append(words.starts, len(words.data))[words.offsets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ints(batch, "doc_id")[some]), signed(same), pa.array(np.diff(begin)[some]), pa.ListArray.from_arrays(pa.array(np.arange(0, len(some) * BANDS + 1, BANDS, dtype=np.int32)), signed(mix(band).ravel()))],
-                ["doc_id", "same", "n_bytes", "bands"],
+                [pa.array(ints(batch, "doc_id")[some]), signed(same), pa.array(np.diff(begin)[some]), short, pa.ListArray.from_arrays(pa.array(np.arange(0, len(some) * BANDS + 1, BANDS, dtype=np.int32)), signed(mix(band).ravel()))],
+                ["doc_id", "same", "n_bytes", "short", "bands"],
             )
 
     return run
@@ -157,6 +163,55 @@ def verified(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, size: int,
     return texts.groupBy(F.pmod(F.xxhash64("a", "salt"), F.lit(n_shards)).alias("shard")).applyInPandas(_verify(size, threshold, miss), "a long, b long, jaccard double")
 
 
+def _close(threshold: float, miss: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of blocks of buckets: the pairs, one of them odd, that nothing connects yet and whose short signatures leave them a chance. Equal bytes of unequal hashes only make that lenient."""
+    least = least_matches(threshold, miss)[: SHORT // BATCH]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        group = rows.groupby(["band", "i", "j"]).ngroup().to_numpy()
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        short = np.frombuffer(b"".join(rows["short"]), np.uint8).reshape(-1, SHORT)[order]
+        ids, label, block, odd = (rows[c].to_numpy()[order] for c in ("b", "label", "block", "odd"))
+        inner = (rows["i"] == rows["j"]).to_numpy()[order]
+        at = np.searchsorted(group, group)
+        n = np.searchsorted(group, group, side="right") - at
+        heads = np.flatnonzero(odd)
+        total = np.cumsum(n[heads])
+        found = [np.zeros((0, 2), np.int64)]
+        lo = 0
+        while lo < len(heads):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, side="right")))
+            x, size = heads[lo:hi], n[heads[lo:hi]]
+            y = np.repeat(at[x] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            x = np.repeat(x, size)
+            ok = np.flatnonzero((label[x] != label[y]) & (inner[x] | (block[x] != block[y])) & ~(odd[y] & (ids[y] <= ids[x])))
+            x, y = x[ok], y[ok]
+            matches = np.zeros(len(x), np.int64)
+            for k, enough in enumerate(least):
+                matches += (short[x, k * BATCH : (k + 1) * BATCH] == short[y, k * BATCH : (k + 1) * BATCH]).sum(1)
+                alive = np.flatnonzero(matches >= enough)
+                x, y, matches = x[alive], y[alive], matches[alive]
+            found.append(np.sort(np.stack([ids[x], ids[y]], 1), axis=1))
+            lo = hi
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+    return run
+
+
+def _close_pairs(buckets: DataFrame, odd: DataFrame, sketches: DataFrame, labels: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """a, b of each odd (band, b) and each other member of its bucket, as far as they may be similar and nothing connects them."""
+    members = buckets.where("a <> b").select("band", "b").join(odd.select("band", "b", F.lit(True).alias("odd")).distinct(), ["band", "b"], "left")
+    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("odd").alias("any")).where("any").drop("any")
+    members = members.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    members = members.join(labels.select(F.col("id").alias("b"), "label"), "b", "left").join(sketches.select(F.col("doc_id").alias("b"), "short").distinct(), "b")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    tiles = members.select("band", "b", F.coalesce("odd", F.lit(False)).alias("odd"), F.coalesce("label", "b").alias("label"), "short", "block", other)
+    tiles = written(tiles.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "b", "odd", "label", "short", "block"), "tiles")
+    n_shards = max(1, -(-tiles.count() // SHARD_ROWS))
+    return tiles.groupBy(F.pmod(F.xxhash64("band", "i", "j"), F.lit(n_shards)).alias("shard")).applyInPandas(_close(threshold, miss), "a long, b long")
+
+
 def minhash_near_dedup(docs: DataFrame, threshold: float = 0.5, shingle_words: int = 3, miss: float = 0.001, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Groups of near-duplicate documents: doc_id, group_id (the least id of the group), for groups of two or more.
 
@@ -172,7 +227,7 @@ def minhash_near_dedup(docs: DataFrame, threshold: float = 0.5, shingle_words: i
         raise ValueError("threshold must be above 0 and at most 1")
     lean(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    sketches = written(docs.mapInArrow(_sketch(shingle_words), "doc_id long, same long, n_bytes long, bands array<long>"), "sketches")
+    sketches = written(docs.mapInArrow(_sketch(shingle_words), "doc_id long, same long, n_bytes long, short binary, bands array<long>"), "sketches")
     heads = sketches.groupBy("same").agg(F.min("doc_id").alias("head"))
     copies = sketches.join(heads, "same").where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     distinct = sketches.join(heads, "same").where("doc_id = head").select("doc_id", F.explode("bands").alias("band"))
@@ -182,12 +237,9 @@ def minhash_near_dedup(docs: DataFrame, threshold: float = 0.5, shingle_words: i
     stars = written(verified(docs, sketches, buckets.where("a <> b").select("a", "b").distinct(), shingle_words, threshold, miss), "stars")
     labels = components(copies.union(stars.where(F.col("jaccard") >= threshold).select("a", "b")))
     failed = stars.groupBy("a", "b").agg(F.max("jaccard").alias("j")).where(F.col("j") < threshold).select("a", "b")
-    odd = buckets.join(failed, ["a", "b"]).select("band", "a", F.col("b").alias("x"))
-    rest = odd.join(buckets.select("band", F.col("b").alias("y")), "band").where("x <> y AND y <> a").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    for side in ("a", "b"):
-        rest = rest.join(labels.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}")), side, "left")
-    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
-    rest = written(rest.where(apart).select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    odd = buckets.join(failed, ["a", "b"]).select("band", "b")
+    rest = _close_pairs(buckets, odd, sketches, labels, threshold, miss)
+    rest = written(rest.distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = verified(docs, sketches, rest, shingle_words, threshold, miss).where(F.col("jaccard") >= threshold).select("a", "b")
         labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from symgraph.llm import minhash as M
 from symgraph.llm.components import components
 from symgraph.llm.minhash import least_matches, minhash_near_dedup
 
@@ -66,6 +67,36 @@ def test_a_bucket_member_unlike_the_least_id_still_finds_its_partner(spark):
     assert len(found) == 80 and len(set(found.values())) <= 2
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_a_bucket_of_unlike_documents_is_searched_whole(spark, monkeypatch, block):
+    """One band for all: groups are those of all pairs, however the bucket is cut into blocks."""
+    monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "SHARD_ROWS", 20)
+    r = random.Random(9)
+    common = [f"c{i}" for i in range(24)]
+    docs = [(i, " ".join(common + [f"u{r.random()}" for _ in range(40)])) for i in range(40)]
+    for i in range(40, 60):  # partners of some, none of them of the least id
+        w = docs[i - 39][1].split()
+        w[30] = f"e{i}"
+        docs.append((i, " ".join(w)))
+    sketch = M._sketch
+    monkeypatch.setattr(M, "_sketch", lambda size: one_band(sketch(size)))
+    found = {x.doc_id: x.group_id for x in minhash_near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets = {d: shingle_set(t, 3) for d, t in docs}
+    assert found == groups_of([(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])])
+
+
+def one_band(run):
+    import pyarrow as pa
+
+    def same(batches):
+        for b in run(batches):
+            n = b.num_rows
+            yield b.set_column(b.num_columns - 1, "bands", pa.array([[7]] * n, pa.list_(pa.int64())))
+
+    return same
+
+
 def test_empty(spark):
     assert minhash_near_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
