@@ -136,8 +136,28 @@ def adjacency(edges: DataFrame, column: str = "src") -> DataFrame:
 
 
 def duplicate_ids(chunks: DataFrame, id_col: str = "id", lang_col: str = "lang") -> DataFrame:
-    """id, lang, occurrences of ids that occur more than once."""
-    return chunks.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("occurrences"), F.array_sort(F.collect_set(lang_col)).alias("langs")).where("occurrences > 1")
+    """id, occurrences, counts (lang, n) of ids that occur more than once, counted by language first."""
+    by_lang = chunks.groupBy(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    return by_lang.groupBy("id").agg(F.sum("n").alias("occurrences"), F.array_sort(F.collect_list(F.struct("lang", "n"))).alias("counts")).where("occurrences > 1")
+
+
+def containing(points: DataFrame, spans: DataFrame, on: str = "path", at: str = "offset", start: str = "span_start", end: str = "span_end", width: int = 4096) -> DataFrame:
+    """Each point with the spans of its path that it is in, from start to before end. Both sides meet on path and stretches of ``width``, so a path with many of either isn't joined with itself."""
+    reach = F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))
+    s = spans.where(F.col(end) > F.col(start)).withColumn("__b", F.explode(reach))
+    p = points.withColumn("__b", F.floor(F.col(at) / width))
+    return p.join(s, [on, "__b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__b")
+
+
+def in_namespaces(rows: DataFrame, prefixes: tuple[str, ...], defined: DataFrame | None = None, column: str = "id") -> DataFrame:
+    """Rows whose name begins with one of the namespaces, or is among those that the source defines."""
+    inside = F.lit(False)
+    for prefix in prefixes:
+        inside = inside | F.startswith(F.col(column), F.lit(prefix))
+    if defined is None:
+        return rows.where(inside)
+    known = defined.select(F.col(defined.columns[0]).alias("__id"), F.lit(True).alias("__k")).distinct()
+    return rows.join(known, F.col(column) == F.col("__id"), "left").where(inside | F.col("__k")).drop("__id", "__k")
 
 
 def first_of_each(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:

@@ -119,6 +119,29 @@ def get_item_lines(spark, sf_dir):
     return items.item(table(spark, sf_dir, "documents").select("doc_id", "text"), 3)
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand || ' -> ' || p_name ELSE p_name END || chr(10) || p_type AS preview FROM part")
+def context_preview(spark, sf_dir):
+    within = F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise("")
+    return table(spark, sf_dir, "part").select("p_partkey", T.context_preview(within, F.col("p_name"), F.col("p_type")).alias("preview"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(v, '[ \\t\\r\\n,;]+'), lambda w: ends_with(lower(w), 'def')), ' ') AS links FROM (SELECT p_partkey, p_name || ' ThingDef,' || p_type || CASE WHEN p_partkey % 3 = 0 THEN ';RecipeDEF' ELSE '' END AS v FROM part)")
+def def_links(spark, sf_dir):
+    v = F.concat("p_name", F.lit(" ThingDef,"), "p_type", F.when(F.col("p_partkey") % 3 == 0, ";RecipeDEF").otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.def_links(v), " ").alias("links"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda v: trim(v) <> '' AND length(v) < 200)) AS n FROM documents")
+def short_values(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.short_values(F.split("text", "\n"))).cast("long").alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN lower(v) IN ('type', 'method', 'field') THEN lower(v) ELSE 'unknown' END AS kind FROM (SELECT p_partkey, list_extract(['Type', 'METHOD', 'field', 'other', ''], CAST(p_partkey % 5 AS INTEGER) + 1) AS v FROM part)")
+def symbol_kinds(spark, sf_dir):
+    v = F.element_at(F.array(*(F.lit(x) for x in ("Type", "METHOD", "field", "other", ""))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.symbol_kind(v, ("type", "method", "field")).alias("kind"))
+
+
 # lexical ------------------------------------------------------------------------------------------------------------
 
 
@@ -486,13 +509,52 @@ def classified_bases(spark, sf_dir):
     return graph.classified_bases(e, table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(trade.name("supp", "s_suppkey").alias("id")))
 
 
+DAYS_SQL = "SELECT o_orderkey, o_custkey AS path, datediff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT AS day FROM orders"
+
+
+@query(f"WITH o AS ({DAYS_SQL}) SELECT p.o_orderkey, count(*) AS spans, min(s.o_orderkey) AS first FROM o p JOIN o s ON p.path = s.path AND p.day >= s.day AND p.day < s.day + 90 GROUP BY p.o_orderkey")
+def span_containment(spark, sf_dir):
+    """Places with the spans of the same file that they are in: orders within ninety days after others of their customer."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("path"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("offset"))
+    spans = o.select("path", F.col("o_orderkey").alias("span"), F.col("offset").alias("span_start"), (F.col("offset") + 90).alias("span_end"))
+    return graph.containing(o, spans, width=256).groupBy("o_orderkey").agg(F.count("*").alias("spans"), F.min("span").alias("first"))
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE starts_with(p_brand, 'Brand#1') OR starts_with(p_brand, 'Brand#4') OR p_brand IN (SELECT 'Brand#' || (20 + s_nationkey % 5) FROM supplier)")
+def namespace_filter(spark, sf_dir):
+    defined = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Brand#"), (F.col("s_nationkey") % 5 + 20).cast("string")))
+    return graph.in_namespaces(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), ("Brand#1", "Brand#4"), defined, "p_brand")
+
+
+CODE_EDGES = ", ".join(f"'{k}'" for k in schema.CODE_EDGES)
+
+
+@query(f"WITH {EDGES_SQL} SELECT kind IN ({CODE_EDGES}) AS of_code, sum(n)::BIGINT AS n, count(DISTINCT kind) AS kinds FROM edges GROUP BY ALL")
+def edge_classes(spark, sf_dir):
+    return trade.edges(spark, sf_dir).groupBy(schema.is_code_edge(F.col("kind")).alias("of_code")).agg(F.sum("n").alias("n"), F.count_distinct("kind").alias("kinds"))
+
+
+FOUND_SQL = "c AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'xml:' || p_type || ':' || p_partkey ELSE 'part:' || p_partkey END AS id, CASE p_partkey % 4 WHEN 1 THEN 'type' ELSE 'method' END AS symbol_kind FROM part)"
+
+
+@query(f"""WITH {FOUND_SQL}, f AS (SELECT id, CASE symbol_kind WHEN 'type' THEN 1000 + CASE WHEN ends_with(id, '17') THEN 200 ELSE 0 END ELSE 10 END + 20 - 0.2::DOUBLE * length(id) AS score FROM c WHERE contains(lower(id), '17'))
+SELECT 'exact' AS how, id FROM c WHERE id = 'part:7' UNION ALL SELECT 'prefix', min(id) FROM c WHERE starts_with(id, 'xml:') UNION ALL (SELECT 'fuzzy', id FROM f ORDER BY score DESC, id LIMIT 1)""")
+def found_items(spark, sf_dir):
+    """The item meant by an id, by the beginning of one, and by a part of one."""
+    p = F.col("p_partkey")
+    own = F.when(p % 2 == 0, F.concat(F.lit("xml:"), "p_type", F.lit(":"), p.cast("string"))).otherwise(F.concat(F.lit("part:"), p.cast("string")))
+    chunks = table(spark, sf_dir, "part").select(own.alias("id"), F.when(p % 4 == 1, "type").otherwise("method").alias("symbol_kind"), F.when(p % 2 == 0, "xml").otherwise("csharp").alias("lang"))
+    one = lambda how, text: items.find(chunks, text).select(F.lit(how).alias("how"), "id")
+    return one("exact", "part:7").union(one("prefix", "xml:")).union(one("fuzzy", "17"))
+
+
 # tables and increments ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT text AS id, count(*) AS occurrences, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs FROM documents GROUP BY text HAVING count(*) > 1")
+@query("SELECT text AS id, sum(n)::BIGINT AS occurrences, string_agg(lang || ':' || n, ',' ORDER BY lang) AS langs FROM (SELECT text, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY text HAVING sum(n) > 1")
 def duplicates_report(spark, sf_dir):
     x = graph.duplicate_ids(table(spark, sf_dir, "documents"), "text")
-    return x.select("id", "occurrences", F.array_join("langs", ",").alias("langs"))
+    return x.select("id", "occurrences", F.array_join(F.transform("counts", lambda c: F.concat(c["lang"], F.lit(":"), c["n"].cast("string"))), ",").alias("langs"))
 
 
 @query("SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) = 1")

@@ -27,6 +27,8 @@ EDGE_KINDS = [
     ("XmlUsesComp", 21, 0.6, "uses component", "component of def", True),
     ("CSharpUsedByDef", 30, 0.7, "used by def", "used in def", False),
 ]
+#: kinds between symbols of code; all others begin or end at a definition
+CODE_EDGES = ("Inherits", "Implements", "Calls", "References")
 OTHER_WEIGHT = 0.1
 RANK_SCALE, IDENTIFIER_BOOST, TEXT_BOOST, SEMANTIC_WEIGHT, BOTH_BONUS = 1e7, 2.5, 1.0, 2.0, 1.0
 LEXICAL_K, MAX_RESULTS, PAGE_SIZE, TOOL_PAGE_SIZE = 1000, 20, 30, 50
@@ -51,6 +53,10 @@ def label(kind: Column, forwards: bool) -> Column:
     return _lookup(kind, 3 if forwards else 4, kind)
 
 
+def is_code_edge(kind: Column) -> Column:
+    return kind.isin(*CODE_EDGES)
+
+
 def encode(kind: Column) -> Column:
     """The stored code; 0 for other kinds."""
     return _lookup(kind, 1, F.lit(0))

@@ -295,3 +295,18 @@ def test_jaro_counts_whole_transpositions_and_is_symmetric():
     assert jaro("xml:region:1", "xml:nation:1")[0] == pytest.approx((9 / 12 + 9 / 12 + 8 / 9) / 3)
     assert jaro("MARTHA", "MARHTA")[0] == pytest.approx(0.9444, abs=1e-4) and jaro("DIXON", "DICKSONX")[0] == jaro("DICKSONX", "DIXON")[0] == pytest.approx(0.7667, abs=1e-4)
     assert jaro_winkler_value("abc", "abc") == 1 and jaro_winkler_value("MARTHA", "MARHTA", True) == pytest.approx(0.9611, abs=1e-4)
+
+
+def test_points_meet_the_spans_that_hold_them(spark):
+    spans = spark.createDataFrame([("f", "a", 0, 100), ("f", "b", 10, 20), ("f", "empty", 5, 5), ("g", "c", 0, 9)], "path string, id string, span_start int, span_end int")
+    points = spark.createDataFrame([("f", 0), ("f", 19), ("f", 20), ("f", 100), ("g", 9), ("h", 1), (None, 1)], "path string, offset int")
+    for width in (1, 7, 4096):
+        got = {(r.path, r.offset, r.id) for r in graph.containing(points, spans, width=width).collect()}
+        assert got == {("f", 0, "a"), ("f", 19, "a"), ("f", 19, "b"), ("f", 20, "a")}
+
+
+def test_namespaces_and_duplicates_by_language(spark):
+    rows = spark.createDataFrame([("Engine.X", "a"), ("Other.Y", "a"), ("Mine.Z", "b"), ("Mine.Z", None), (None, "a")], "id string, lang string")
+    assert {r.id for r in graph.in_namespaces(rows, ("Engine",)).collect()} == {"Engine.X"}
+    assert {r.id for r in graph.in_namespaces(rows, ("Engine",), spark.createDataFrame([("Mine.Z",)], "id string")).collect()} == {"Engine.X", "Mine.Z"}
+    assert [(r.id, r.occurrences, [(c.lang, c.n) for c in r.counts]) for r in graph.duplicate_ids(rows).collect()] == [("Mine.Z", 2, [(None, 1), ("b", 1)])]
