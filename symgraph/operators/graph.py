@@ -9,6 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: ids or names that are broadcast at most; more are joined by a shuffle
+BROADCAST_IDS = 1_000_000
+
+
+def few(rows: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """The rows, to be broadcast if there are few enough."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
+def spread(rows: DataFrame, partitions: int | None, *columns: str) -> DataFrame:
+    """In as many parts as told, else as the next shuffle makes them."""
+    return rows.repartition(partitions, *columns) if partitions else rows
+
+
 def symbols_by_name(symbols: DataFrame, id_col: str = "id", name_col: str = "symbol_name") -> DataFrame:
     """name (lower case), ids: all symbols of a name."""
     return symbols.groupBy(F.lower(F.col(name_col)).alias("name")).agg(F.array_sort(F.collect_list(id_col)).alias("ids"))
@@ -72,10 +86,13 @@ def reverse_bindings(edges: DataFrame, kinds: tuple[str, ...] = ("XmlBindsClass"
     return edges.where(F.col("kind").isin(*kinds)).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(kind).alias("kind"), "n")
 
 
-def valid(edges: DataFrame, nodes: DataFrame, id_col: str = "id") -> DataFrame:
-    """Edges both of whose ends are nodes."""
+def valid(edges: DataFrame, nodes: DataFrame, id_col: str = "id", partitions: int | None = None) -> DataFrame:
+    """Edges both of whose ends are nodes. partitions: of the shuffles of the edges, where these are more than the default ones hold in memory."""
     ids = nodes.select(F.col(id_col).alias("__id")).distinct()
-    return edges.join(ids, F.col("src") == F.col("__id"), "left_semi").join(ids, F.col("dst") == F.col("__id"), "left_semi")
+    own = few(ids)
+    for end in ("src", "dst"):
+        edges = (spread(edges, partitions, end) if own is ids else edges).join(spread(own, partitions, "__id") if own is ids else own, F.col(end) == F.col("__id"), "left_semi")
+    return edges
 
 
 def without_loops(edges: DataFrame) -> DataFrame:
@@ -89,9 +106,9 @@ def valid_references(refs: DataFrame, defs: DataFrame, id_col: str = "id", name_
 
 
 def classified_bases(edges: DataFrame, interfaces: DataFrame, id_col: str = "id") -> DataFrame:
-    """Inherits becomes Implements where the target is an interface."""
+    """Inherits becomes Implements where the target is an interface; edges aren't shuffled if there are few enough of these to broadcast."""
     known = interfaces.select(F.col(id_col).alias("dst"), F.lit(True).alias("__i")).distinct()
-    return edges.join(known, "dst", "left").withColumn("kind", F.when(F.col("__i") & (F.col("kind") == "Inherits"), "Implements").otherwise(F.col("kind"))).drop("__i").select("src", "dst", "kind", "n")
+    return edges.join(few(known), "dst", "left").withColumn("kind", F.when(F.col("__i") & (F.col("kind") == "Inherits"), "Implements").otherwise(F.col("kind"))).drop("__i").select("src", "dst", "kind", "n")
 
 
 def node_index(symbols: DataFrame, id_col: str = "id", order: tuple[str, ...] = ()) -> DataFrame:
@@ -129,10 +146,10 @@ def row_pointers(index: DataFrame, edges: DataFrame, column: str = "src") -> Dat
     return within.join(before, "__b").select("node_id", "n_edges", (F.col("first") + F.col("__s")).alias("pointer"))
 
 
-def adjacency(edges: DataFrame, column: str = "src") -> DataFrame:
-    """id, neighbours: array of (id, kind, n), for those who want rows like compressed sparse ones."""
+def adjacency(edges: DataFrame, column: str = "src", partitions: int | None = None) -> DataFrame:
+    """id, neighbours: array of (id, kind, n), for those who want rows like compressed sparse ones. partitions: of the edges' shuffle, where these are more than the default ones hold in memory."""
     other = "dst" if column == "src" else "src"
-    return edges.groupBy(F.col(column).alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col(other).alias("id"), "kind", "n"))).alias("neighbours"))
+    return spread(edges, partitions, column).groupBy(F.col(column).alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col(other).alias("id"), "kind", "n"))).alias("neighbours"))
 
 
 def duplicate_ids(chunks: DataFrame, id_col: str = "id", lang_col: str = "lang") -> DataFrame:
