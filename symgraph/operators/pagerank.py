@@ -1,17 +1,26 @@
-"""PageRank over counted edges."""
+"""PageRank over counted edges.
+
+Nodes are numbered in order of a 64-bit hash of their ids and lie in blocks by its first bits. The edges are shuffled once, to the block of their
+target, which writes them to the shared folder as numbers; a round then reads these files and the last ranks where they lie and writes the new
+ranks, without a shuffle.
+"""
 
 from __future__ import annotations
 
+import itertools
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 20, 1e-6
-#: rounds after which the lineage is cut by a checkpoint
-CUT = 5
+#: nodes of a block, about; edges that a task numbers and writes at once
+BLOCK, CHUNK = 1 << 16, 1 << 22
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -33,37 +42,184 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def mounted(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, by the path at which every host has it mounted; deleted when the session's JVM ends."""
+    path, jvm = shared_folder(spark, name), spark.sparkContext._jvm
+    local = "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+    if "://" in local:
+        raise ValueError(f"{path}: spark.checkpoint.dir has to be on a file system that is mounted on all hosts")
+    os.makedirs(local)
+    at = jvm.org.apache.hadoop.fs.Path(f"file://{local}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return local
+
+
+def sized(path: str, n: int) -> str:
+    """A file of n zeros of 8 bytes, which tasks fill."""
+    with open(path, "wb") as f:
+        f.truncate(8 * n)
+    return path
+
+
+def put(path: str, start: int, values: np.ndarray) -> None:
+    """A task's own stretch of the file; a repeated task writes the same again."""
+    with open(path, "r+b") as f:
+        f.seek(8 * start)
+        f.write(values.tobytes())
+
+
+def placed(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places among the sorted keys, and which of those wanted are there."""
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+
+class Blocks:
+    """The files of a graph: keys (hashes, sorted), out (numbers of edges that begin at a node) and the edges of each block."""
+
+    def __init__(self, ids: DataFrame, n: int):
+        self.spark, self.ids, self.n = ids.sparkSession, ids, n
+        self.folder = mounted(self.spark, "pagerank")
+        self.bits = max(1, (max(1, n // BLOCK) - 1).bit_length())
+        self.count = 1 << self.bits
+        for self.seed in itertools.count():  # another seed if two ids have one hash
+            hashed = ids.select(self.key("id").alias("h")).withColumn("b", self.block("h"))
+            sizes = {r["b"]: r.k for r in hashed.groupBy("b").agg(F.count("*").alias("k")).collect()}
+            self.starts = [0, *itertools.accumulate(sizes.get(b, 0) for b in range(self.count))]
+            path, starts = sized(f"{self.folder}/keys", n), self.starts
+
+            def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b, (h,) in columns(batches, 1):
+                    h.sort()
+                    put(path, starts[b], h)
+                    yield pa.record_batch({"different": np.array([len(np.unique(h))], np.int64)})
+
+            if hashed.repartitionById(self.count, F.col("b")).mapInArrow(write, "different long").agg(F.sum("different")).first()[0] == n:
+                break
+
+    def key(self, column: str) -> Column:
+        return F.xxhash64(F.col(column), F.lit(self.seed))
+
+    def block(self, column: str) -> Column:
+        return (F.shiftright(column, 64 - self.bits) + (self.count >> 1)).cast("int")
+
+    def write(self, edges: DataFrame) -> tuple[dict[int, list[str]], int]:
+        """The files of each block's edges, and the number of nodes without edges. One job, so that both read the same shuffles of the edges; ends without an id count for the degree alone."""
+        kind, folder, starts, n = self.ids.schema["id"].dataType, self.folder, self.starts, self.n
+        end = lambda c: F.when(F.col(c).isNotNull(), self.key(c))
+        e = edges.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), F.col("n").cast("long").alias("n")).select(end("src").alias("s"), end("dst").alias("d"), "n")
+        sized(f"{folder}/out", n)
+
+        def write_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys = np.memmap(f"{folder}/keys", np.int64, "r")
+            for b, (s, d, k) in columns(batches, 3, CHUNK):
+                order = np.argsort(s)
+                s, d, k = s[order], d[order], k[order]
+                (src, known), (dst, own) = placed(keys, s), placed(keys[starts[b] : starts[b + 1]], d)
+                known &= own
+                name = f"{folder}/{b}-{uuid.uuid4().hex}"
+                for what, x in (("src", src[known].astype(np.min_scalar_type(n))), ("dst", dst[known].astype(np.int32)), ("n", k[known].astype(np.uint8) if len(k) and 0 <= k.min() and k.max() < 256 else k[known])):
+                    np.save(f"{name}.{what}.npy", x)
+                yield pa.record_batch({"b": np.array([b], np.int32), "file": pa.array([name]), "k": np.array([0], np.int64)})
+
+        def write_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys = np.memmap(f"{folder}/keys", np.int64, "r")
+            for b, (s, k) in columns(batches, 2):
+                at, known = placed(own := keys[starts[b] : starts[b + 1]], s)
+                out = np.zeros(len(own))
+                out[at[known]] = k[known]
+                put(f"{folder}/out", starts[b], out)
+                yield pa.record_batch({"b": np.array([b], np.int32), "file": pa.array([None], pa.string()), "k": np.array([(out > 0).sum()], np.int64)})
+
+        into, by = "b int, file string, k long", F.col("b")
+        targets = e.select("s", "d", "n", F.coalesce(self.block("d"), F.lit(0)).alias("b")).repartitionById(self.count, by).mapInArrow(write_edges, into)
+        degrees = e.groupBy("s").agg(F.sum("n").alias("n")).select("s", "n", F.coalesce(self.block("s"), F.lit(0)).alias("b")).repartitionById(self.count, by).mapInArrow(write_out, into)
+        files: dict[int, list[str]] = {b: [] for b in range(self.count)}
+        linked = 0
+        for r in targets.union(degrees).collect():  # a row for each file
+            linked += r.k
+            if r.file:
+                files[r["b"]].append(r.file)
+        return files, n - linked
+
+    def round(self, files: dict[int, list[str]], old: str | None, new: str, base: float, damping: float) -> tuple[float, float]:
+        """Write the new ranks; their change, and the rank of nodes without edges."""
+        folder, starts, n = self.folder, self.starts, self.n
+        sized(new, n)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.memmap(f"{folder}/out", np.float64, "r")
+            rank = np.memmap(old, np.float64, "r") if old else np.broadcast_to(1.0 / n, n)
+            for batch in batches:
+                for b in batch.column(0).to_pylist():
+                    lo, hi = starts[b], starts[b + 1]
+                    got = np.zeros(hi - lo)
+                    for f in files[b]:
+                        src, dst, k = (np.load(f"{f}.{what}.npy") for what in ("src", "dst", "n"))
+                        got += np.bincount(dst, rank[src] / out[src] * k, hi - lo)
+                    value = base + damping * got
+                    put(new, lo, value)
+                    yield pa.record_batch({"b": np.array([b], np.int64), "change": [float(np.abs(value - rank[lo:hi]).sum())], "lost": [float(value[out[lo:hi] == 0].sum())]})
+
+        tasks = min(self.count, 4 * self.spark.sparkContext.defaultParallelism)
+        rows = sorted(self.spark.range(0, self.count, 1, tasks).mapInArrow(run, "b long, change double, lost double").collect())
+        return sum(r.change for r in rows), sum(r.lost for r in rows)
+
+    def ranks(self, path: str) -> DataFrame:
+        """id, score."""
+        folder = self.folder
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, rank = np.memmap(f"{folder}/keys", np.int64, "r"), np.memmap(path, np.float64, "r")
+            for batch in batches:
+                yield pa.record_batch({"id": batch.column(0), "score": rank[np.searchsorted(keys, batch.column(1).to_numpy())]})
+
+        return self.ids.select("id", self.key("id").alias("h")).mapInArrow(look_up, f"id {self.ids.schema['id'].dataType.simpleString()}, score double")
+
+
+def columns(batches: Iterator[pa.RecordBatch], n: int, most: int | None = None) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Of a task's one block (the column after the n first) the first columns, without rows that have a null; of all rows, or of about ``most`` at a time."""
+    held, rows = [], 0
+
+    def joined() -> tuple[int, list[np.ndarray]]:
+        t = pa.Table.from_batches(held).drop_null()
+        return held[0].column(n)[0].as_py(), [np.array(t.column(i).to_numpy()) for i in range(n)]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if most and rows >= most:
+            yield joined()
+            held, rows = [], 0
+    if held:
+        yield joined()
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, id_col: str = "id") -> DataFrame:
     """id, score: parallel edges count each, the mass of nodes without edges is spread evenly, and rounds end when the ranks' change is below the tolerance.
 
-    Shares n / out-degree are made once and partitioned by source, as the ranks are, so that a round is one shuffle by target.
+    Hashes of nodes' ids are made to differ; an end of an edge that is no node is told from the nodes by 64 bits.
     """
     ids = cut(nodes.select(F.col(id_col).alias("id")).distinct())
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("score"))
-    out = edges.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("out"))
-    between = edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").groupBy("src", "dst").agg(F.sum("n").alias("n"))
-    shares = cut(between.join(out, between["src"] == out["id"]).select("src", "dst", (F.col("n") / F.col("out")).alias("share")))
-    dangling = ids.join(out.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("dangling"))
-    ranks = cut(ids.join(dangling, "id", "left").select("id", F.coalesce("dangling", F.lit(False)).alias("dangling"), F.lit(1.0 / n).alias("score")))
-    lost = ranks.where("dangling").count() / n
-    held: list[DataFrame] = []
+    graph = Blocks(ids, n)
+    files, alone = graph.write(edges)
+    rank, lost = None, alone / n
     for i in range(1, iterations + 1):
-        gathered = shares.join(ranks, shares["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        base = (1 - damping) / n + damping * lost / n
-        new = ranks.join(gathered, ranks["id"] == gathered["dst"], "left")
-        new = new.select("id", "dangling", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("score"), F.col("score").alias("old"))
-        # one job a round: what the sums read is kept for the next one; a few rounds on, the lineage is cut
-        new = new.persist(StorageLevel.MEMORY_AND_DISK) if i % CUT else cut(new)
-        change, lost = new.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0))).first()
-        ranks = new.drop("old")
-        if i % CUT:
-            held.append(new)
-        else:
-            for x in held:
-                x.unpersist()
-            held = []
+        new = f"{graph.folder}/rank-{i}"
+        change, lost = graph.round(files, rank, new, (1 - damping) / n + damping * lost / n, damping)
+        if rank:
+            os.remove(rank)
+        rank = new
         if change < tolerance:
             break
-    return ranks.select("id", "score")
+    for name in itertools.chain(*files.values()):
+        for what in ("src", "dst", "n"):
+            os.remove(f"{name}.{what}.npy")
+    if rank is None:
+        return ids.select("id", F.lit(1.0 / n).alias("score"))
+    return graph.ranks(rank)

@@ -2,6 +2,7 @@
 
 
 from symgraph.operators import graph
+from symgraph.operators import pagerank as ranking
 from symgraph.plans import trade
 
 
@@ -35,3 +36,29 @@ def test_repeated_bindings_are_counted(spark, sf, tmp_path):
         rows = trade.table(spark, sf, t)
         rows.union(rows).write.parquet(f"{tmp_path}/{t}.parquet")
     assert {r.n for r in trade.bindings(spark, str(tmp_path)).select("n").distinct().collect()} == {2}
+
+
+def test_pagerank_over_several_blocks_and_files(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK", 4)
+    monkeypatch.setattr(ranking, "CHUNK", 3)
+    n = 40
+    pairs = [(f"n{i}", f"n{i * i % 7}", 1 + i % 3) for i in range(n - 5)] + [("n1", "n2", 300), ("n3", None, 2), (None, "n3", 1), ("n4", "elsewhere", 5), ("elsewhere", "n5", 1)]
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(n)], "id string")
+    edges = spark.createDataFrame([(a, b, "Calls", k) for a, b, k in pairs], "src string, dst string, kind string, n long")
+    ids, out, score = [f"n{i}" for i in range(n)], {}, dict.fromkeys([f"n{i}" for i in range(n)], 1 / n)
+    for a, _, k in pairs:
+        out[a] = out.get(a, 0) + k
+    for _ in range(3):
+        lost = sum(score[i] for i in ids if i not in out)
+        score = {i: 0.15 / n + 0.85 * (sum(score.get(a, 0) * k / out[a] for a, b, k in pairs if b == i) + lost / n) for i in ids}
+    got = {r.id: r.score for r in ranking.pagerank(nodes, edges, iterations=3, tolerance=0).collect()}
+    assert got.keys() == score.keys() and max(abs(got[i] - score[i]) for i in ids) < 1e-12
+
+
+def test_rounds_of_pagerank_shuffle_no_edges(spark):
+    ids = spark.createDataFrame([("a",), ("b",)], "id string")
+    edges = spark.createDataFrame([("a", "b", "Calls", 1)], "src string, dst string, kind string, n long")
+    g = ranking.Blocks(ids, 2)
+    files, alone = g.write(edges)
+    assert alone == 1 and g.round(files, None, f"{g.folder}/new", 0.1, 0.85) is not None
+    assert "Exchange" not in plan(g.ranks(f"{g.folder}/new"))
