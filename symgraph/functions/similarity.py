@@ -31,6 +31,19 @@ def fnv1a(word: Column) -> Column:
     return F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), F.lit(FNV_OFFSET).cast("long"), lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+def fnv1a_words(words: list[str]) -> np.ndarray:
+    """The same of many words at once: those of one length side by side, character by character."""
+    out, lengths = np.full(len(words), FNV_OFFSET, np.uint64), np.array([len(w) for w in words], np.int64)
+    for n in np.unique(lengths[lengths > 0]):
+        own = np.flatnonzero(lengths == n)
+        codes = np.array([words[i] for i in own], f"U{n}").view(np.uint32).reshape(len(own), n).astype(np.uint64)
+        h = out[own]
+        for j in range(n):
+            h = ((h ^ codes[:, j]) * np.uint64(FNV_PRIME)) & np.uint64(0xFFFFFFFF)
+        out[own] = h
+    return out.astype(np.int64)
+
+
 def jaro(a: str, b: str) -> tuple[float, int]:
     """Jaro similarity, and the length of the common prefix."""
     if a == b:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 CAMEL = r"(?<!^)(?=[A-Z][a-z])|(?<=[a-z0-9])(?=[A-Z])"
 #: the usual English stop words of lexical search
 STOP_WORDS = sorted("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
+#: what isn't a letter, digit, ``_`` or ``.``, with the dots beside it; and dots at the ends of the text
+SEPARATORS = r"(?<!\.)\.*+[^\p{L}\p{N}_.][^\p{L}\p{N}_]*+|^\.+|\.+$"
 CLASS_PREFIXES = ["AI", "Building", "Comp", "Gen", "Graphic", "Hediff", "Inc", "Job", "Pawn", "Place", "Quest", "Ritual", "Room", "Stat", "Thing", "Think", "Verb", "Work"]
 CLASS_SUFFIXES = ["Class", "Comp", "Driver", "Effect", "Handler", "Worker"]
 #: (prefix, namespace) rules for names without one, first match; then the default
@@ -42,9 +44,8 @@ def preview(text: Column, limit: int = 320) -> Column:
 
 def tokens(text: Column, stop_words: bool = True) -> Column:
     """Tokens of lexical search: lower case, letters, digits, ``_`` and ``.``; dots at the ends are dropped, and stop words by default."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}_.]+")
-    words = non_empty(F.transform(words, lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")))
-    return F.filter(words, lambda w: ~w.isin(STOP_WORDS)) if stop_words else words
+    words = F.split(F.lower(text), SEPARATORS)
+    return F.filter(words, lambda w: ~w.isin("", *STOP_WORDS)) if stop_words else non_empty(words)
 
 
 def identifier_tokens(code: Column) -> Column:

@@ -18,7 +18,8 @@ K1, B = 1.2, 0.75
 
 
 def postings(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
-    """One row for each term of a field of a document."""
+    """One row for each term of a field of a document. Documents are shuffled by id rather than their words by term, and counted where they are."""
+    docs = docs.repartition(id_col)
     each = F.explode(F.array(*(F.struct(F.lit(name).alias("field"), words.alias("words")) for name, words in fields.items())))
     words = docs.select(F.col(id_col).alias("doc_id"), each.alias("f")).select("f.field", F.explode("f.words").alias("term"), "doc_id")
     return words.groupBy("field", "term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
@@ -26,6 +27,7 @@ def postings(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFra
 
 def index_postings(docs: DataFrame, id_col: str, fields: dict[str, Column], lang_col: str = "lang") -> DataFrame:
     """Postings as they are stored: with dl, the number of words of the field, and the document's lang."""
+    docs = docs.repartition(id_col)
     each = F.explode(F.array(*(F.struct(F.lit(name).alias("field"), F.coalesce(words, F.array().cast("array<string>")).alias("words")) for name, words in fields.items())))
     words = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), each.alias("f")).select("f.field", F.explode("f.words").alias("term"), "doc_id", F.size("f.words").alias("dl"), "lang")
     return words.groupBy("field", "term", "doc_id", "dl", "lang").agg(F.count("*").cast("int").alias("tf"))
@@ -38,6 +40,12 @@ def field_stats(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return rows.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
 
 
+def doc_lengths(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
+    """field, doc_id, dl of documents with a word in the field, without their postings."""
+    sizes = F.array(*(F.struct(F.lit(name).alias("field"), F.size(words).cast("long").alias("dl")) for name, words in fields.items()))
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(sizes).alias("f")).select("f.field", "doc_id", "f.dl").where("dl > 0")
+
+
 def doc_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("field", "doc_id").agg(F.sum("tf").alias("dl"))
 
@@ -55,17 +63,20 @@ def query_terms(query: str) -> list[str]:
 def scores(docs: DataFrame, id_col: str, fields: dict[str, Column], query: str, boosts: dict[str, float] | None = None, similarity: str = "bm25") -> DataFrame:
     """doc_id, score of all documents with a term of the query.
 
-    Fields' words are filtered to the query's terms where they are made, so only matching words are exploded and shuffled. similarity: bm25, or
-    classic (tf-idf with coordination).
+    Fields' words are filtered to the query's terms where they are made, so only matching words are exploded and shuffled. Words are made once, and each
+    document's number of them and hits are kept in the shared folder for the statistics and the scores. similarity: bm25, or classic (tf-idf with coordination).
     """
+    from .pagerank import cut
+
     if similarity not in ("bm25", "classic"):
         raise ValueError("similarity must be bm25 or classic")
     boosts = boosts or {}
     terms = query_terms(query)
     if not terms:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
-    structs = [F.struct(F.lit(name).alias("field"), F.lit(float(boosts.get(name, 1.0))).alias("boost"), F.size(w).alias("dl"), F.filter(w, lambda x: x.isin(terms)).alias("hits")) for name, w in fields.items()]
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(*structs)).alias("f")).select("doc_id", "f.*")
+    found = lambda name: lambda w: F.struct(F.lit(name).alias("field"), F.lit(float(boosts.get(name, 1.0))).alias("boost"), F.size(w).alias("dl"), F.filter(w, lambda x: x.isin(terms)).alias("hits"))
+    each = F.concat(*(F.transform(F.array(w), found(name)) for name, w in fields.items()))  # the lambda binds the words, else they would be made twice
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.explode(each).alias("f")).select("doc_id", "f.*"))
     stats = sized.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
     hits = sized.where(F.size("hits") > 0).select("doc_id", "field", "boost", "dl", F.explode("hits").alias("term"))
     hits = hits.groupBy("doc_id", "field", "boost", "dl", "term").agg(F.count("*").alias("tf"))

@@ -13,10 +13,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import dot, fnv1a, hash_vector
+from ..functions.similarity import dot, fnv1a_words, hash_vector
 from ..functions.text import CAMEL, embedding_text
 
 
@@ -31,21 +32,36 @@ class EmbeddingError(RuntimeError):
 
 
 def hash_embed(docs: DataFrame, id_col: str, words: Column, dims: int = 768) -> DataFrame:
-    """id, vector: counts of the words in FNV buckets, normalised. Words that occur several times count as often."""
-    hashed = docs.select(F.col(id_col).alias("id"), F.explode(words).alias("w")).select("id", (fnv1a(F.col("w")) % dims).alias("bucket"))
-    counts = hashed.groupBy("id", "bucket").agg(F.count("*").alias("k"))
+    """id, vector: counts of the words in FNV buckets, normalised. Words that occur several times count as often; rows of one id are added up.
+
+    Words are hashed and counted by Arrow batches of documents, and only the buckets' counts are shuffled.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            lists = lists.filter(lists.is_valid()) if (kept := batch.filter(lists.is_valid())).num_rows < batch.num_rows else lists
+            coded = lists.flatten().dictionary_encode()
+            rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            of = fnv1a_words(coded.dictionary.to_pylist()) % dims
+            cells, k = np.unique(rows * dims + of[coded.indices.to_numpy()], return_counts=True)
+            ends = np.searchsorted(cells, np.arange(len(lists) + 1) * dims).astype(np.int32)
+            part = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32)))
+            out = pa.record_batch({"id": kept.column(0), "buckets": part(cells % dims), "k": part(k)})
+            yield out.filter(pa.array(ends[1:] > ends[:-1]))
 
     @F.pandas_udf("array<float>")
     def dense(buckets: pd.Series, values: pd.Series) -> pd.Series:
         out = []
         for b, k in zip(buckets, values):
-            v = np.zeros(dims)
-            v[np.asarray(b)] = k
+            v = np.bincount(np.concatenate(list(b)), np.concatenate(list(k)), dims)
             out.append(v / np.sqrt((v**2).sum()))
         return pd.Series(out)
 
-    lists = counts.groupBy("id").agg(F.collect_list(F.struct("bucket", "k")).alias("e"))
-    return lists.select("id", dense(F.col("e.bucket"), F.col("e.k")).alias("vector"))
+    rows = docs.select(F.col(id_col).alias("id"), words.alias("w"))
+    rows = rows.mapInArrow(counted, f"id {rows.schema['id'].dataType.simpleString()}, buckets array<int>, k array<int>")
+    lists = rows.groupBy("id").agg(F.collect_list(F.struct("buckets", "k")).alias("e"))
+    return lists.select("id", dense(F.col("e.buckets"), F.col("e.k")).alias("vector"))
 
 
 def top_k(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "id", vector_col: str = "vector", candidates: DataFrame | None = None, candidate_limit: int = 100_000) -> DataFrame:
