@@ -105,7 +105,10 @@ def file_state_json(state: DataFrame) -> str:
 
 
 def write_graph(edges: DataFrame, nodes: DataFrame, path: str) -> None:
-    """Edges twice, sorted by source and by target within files, so that a look-up of either reads few row groups; and nodes and counts."""
+    """Edges twice, sorted by source and by target within files, so that a look-up of either reads few row groups; and nodes and counts. The edges are made once and kept for both orders and their ranges' bounds."""
+    from ..operators.pagerank import cut
+
+    edges = cut(edges)
     for column, name in (("src", "edges_out"), ("dst", "edges_in")):
         edges.repartitionByRange(column).sortWithinPartitions(column).write.mode("overwrite").parquet(f"{path}/{name}")
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
